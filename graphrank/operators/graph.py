@@ -39,8 +39,12 @@ def make_edge_table(
     source_name: str,
     properties: Sequence[str] = (),
     prefer: Sequence[Column] = (),
+    unique: bool = False,
 ) -> DataFrame:
-    """Canonical edges of one table, one per (source, target)."""
+    """Canonical edges of one table, one per (source, target).
+
+    ``unique`` says that the rows have no repeated pair, and saves a shuffle.
+    """
     kept = [p for p in properties if p in rows.columns]
     shaped = rows.select(
         F.col(source_column).cast("string").alias("source_id"),
@@ -51,13 +55,18 @@ def make_edge_table(
         F.lit(source_name).alias("source"),
         *kept,
     )
+    if unique:
+        return shaped
     order = list(prefer) or ([F.desc_nulls_last("score")] if "score" in kept else [])
     # the type columns are constants: two keys decide, and literals stay out of the shuffle
     return drop_duplicates_by(shaped, ["source_id", "target_id"], order)
 
 
-def assemble_edges(tables: dict[str, DataFrame]) -> DataFrame:
-    """All edge tables as one DataFrame with ``edge_table`` naming the relation."""
+def assemble_edges(tables: dict[str, DataFrame], unique: Sequence[str] = ()) -> DataFrame:
+    """All edge tables as one DataFrame with ``edge_table`` naming the relation.
+
+    ``unique`` names the tables whose pairs are known not to repeat.
+    """
     unknown = sorted(set(tables) - set(EDGE_SCHEMAS))
     if unknown:
         raise KeyError(f"no such edge table: {unknown}")
@@ -65,7 +74,8 @@ def assemble_edges(tables: dict[str, DataFrame]) -> DataFrame:
     for name, rows in tables.items():
         src, rel, dst = EDGE_SCHEMAS[name]
         head, tail = EDGE_ENDPOINTS[name]
-        made = make_edge_table(rows, head, tail, src, rel, dst, EDGE_SOURCES[name], EDGE_PROPERTIES[name])
+        made = make_edge_table(rows, head, tail, src, rel, dst, EDGE_SOURCES[name], EDGE_PROPERTIES[name],
+                               unique=name in unique)
         parts.append(
             made.select(
                 F.lit(name).alias("edge_table"),

@@ -29,6 +29,9 @@ DEFAULT_DISEASE = "EFO_0004616"
 DEFAULT_SPECIES = "Homo sapiens"
 UNMAPPED_REASON = "missing_from_crosswalk"
 
+# edge tables whose normalised rows are unique per pair (a drug may reach a gene by several targets)
+UNIQUE_PAIRS = ("disease_gene", "gene_gene", "gene_pathway", "gene_go", "pathway_pathway")
+
 _CROSSWALK = ["source_namespace", "source_id", "ensembl_gene_id"]
 
 

@@ -54,8 +54,11 @@ def partition_links(links: DataFrame, options: SplitOptions) -> DataFrame:
     per relation are looked up; no relation is sorted as a whole.
     """
     spark = links.sparkSession
-    hashed = links.select("edge_type", "src", "dst").withColumn(
-        "_digest", stable_hash(options.seed, F.col("edge_type"), F.col("src"), F.col("dst"))
+    # read four times below: stored once, whatever it takes to make the links
+    hashed = materialize(
+        links.select("edge_type", "src", "dst").withColumn(
+            "_digest", stable_hash(options.seed, F.col("edge_type"), F.col("src"), F.col("dst"))
+        )
     )
     totals = {r["edge_type"]: r["n"] for r in hashed.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     cuts = []

@@ -163,7 +163,7 @@ class Sources:
             "gene_go": self.gene_go,
             "pathway_pathway": self.pathway_pathway,
         }
-        return graph.assemble_edges({n: makers[n]() for n in (names or makers)})
+        return graph.assemble_edges({n: makers[n]() for n in (names or makers)}, normalize.UNIQUE_PAIRS)
 
     def gene_attributes(self) -> DataFrame:
         return self.table("part").select(
