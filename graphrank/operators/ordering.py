@@ -102,21 +102,21 @@ def dense_index(
     placed = materialize(
         df.repartitionByRange(*[F.col(k) for k in keys], *order)
         .sortWithinPartitions(*[F.col(k) for k in keys], *order)
-        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_row_pos", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_pos", 33).alias("_part")
+    part = F.shiftright("_row_pos", 33).alias("_row_part")
     sizes = placed.groupBy(*keys, part).agg(
-        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
+        F.min("_row_pos").alias("_row_first"), F.count(F.lit(1)).alias("_row_n")
     )
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *keys, "_row_part", "_row_first", F.coalesce(F.sum("_row_n").over(earlier), F.lit(0)).alias("_row_before")
     )
     return (
-        placed.withColumn("_part", F.shiftright("_pos", 33))
-        .join(offsets, [*keys, "_part"])
-        .withColumn(name, F.col("_pos") - F.col("_first") + F.col("_before"))
-        .drop("_pos", "_part", "_first", "_before")
+        placed.withColumn("_row_part", F.shiftright("_row_pos", 33))
+        .join(offsets, [*keys, "_row_part"])
+        .withColumn(name, F.col("_row_pos") - F.col("_row_first") + F.col("_row_before"))
+        .drop("_row_pos", "_row_part", "_row_first", "_row_before")
     )
 
 
