@@ -29,7 +29,7 @@ def canonical_edges(s: Sources) -> DataFrame:
 def stored_graph_relation(s: Sources) -> DataFrame:
     """Write the partitioned graph, check it, and read one relation back."""
     folder = scratch(s.spark, "graph")
-    edges = s.edges()
+    edges = s.stored_edges()
     T.write_graph(edges, G.build_nodes(edges), folder)
     stored, _ = T.read_graph(s.spark, folder)
     G.assert_edges(stored)
@@ -73,7 +73,7 @@ _TOTALS = """e AS (SELECT CAST(count(*) AS DOUBLE) AS e FROM edges), n AS (SELEC
     UNION ALL SELECT 'mean_degree', 'global', round(2 * e / n, 9) FROM e, n
     UNION ALL SELECT 'positive_disease_gene_links', 'Open Targets', CAST(count(*) AS DOUBLE) FROM edges WHERE edge_table = 'disease_gene'""", _TOTALS))
 def graph_statistics(s: Sources) -> DataFrame:
-    edges = s.edges()
+    edges = s.stored_edges()
     return G.graph_statistics(G.build_nodes(edges), edges).withColumn("value", F.round("value", 9))
 
 
@@ -97,7 +97,7 @@ def known_gene_presence(s: Sources) -> DataFrame:
     UNION ALL SELECT 'positive_disease_gene_links', 'disease__associated_with__gene', CAST(count(*) AS DOUBLE) FROM typed2 WHERE rel = 'associated_with'""",
     "t AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM typed2) AS e, (SELECT CAST(count(*) AS DOUBLE) FROM nodes) AS n)"))
 def typed_graph_statistics(s: Sources) -> DataFrame:
-    edges = s.edges()
+    edges = s.stored_edges()
     return G.typed_statistics(G.build_nodes(edges), edges).withColumn("value", F.round("value", 9))
 
 
@@ -106,7 +106,7 @@ def typed_graph_statistics(s: Sources) -> DataFrame:
     LEFT JOIN attr a USING (node_type, node_id)
     LEFT JOIN (SELECT t, id, count(*) AS degree FROM (SELECT st AS t, head AS id FROM typed2 UNION ALL SELECT tt, tail FROM typed2) GROUP BY 1, 2) d ON d.t = n.t AND d.id = n.node_id""".replace("SELECT t ||", "SELECT n.t ||").replace(", t AS node_type, node_id, coalesce", ", n.t AS node_type, n.node_id, coalesce"), _ATTRIBUTES))
 def node_records(s: Sources) -> DataFrame:
-    edges = s.edges()
+    edges = s.stored_edges()
     return G.node_records(s.nodes(edges), edges)
 
 
@@ -214,7 +214,7 @@ def pagerank_sql(edges: str, rounds: int) -> str:
     JOIN (SELECT id, count(*) AS degree FROM (SELECT head AS id FROM edges UNION ALL SELECT tail FROM edges) GROUP BY 1) ON id = node
     WHERE it = 20 AND node LIKE 'ENSG%'""", pagerank_sql("SELECT head, tail FROM edges", 20), recursive=True))
 def gene_structure(s: Sources) -> DataFrame:
-    edges = s.edges()
+    edges = s.stored_edges()
     genes = G.build_nodes(edges).where("node_type = 'Gene'")
     return X.gene_structure(genes, edges).withColumn("pagerank", F.round("pagerank", 9))
 
@@ -224,7 +224,7 @@ def gene_structure(s: Sources) -> DataFrame:
      LEFT JOIN go ON go.head = n.node_id AND go.tail = t.tail) g GROUP BY g.node_id""",
     "term AS (SELECT tail, row_number() OVER (ORDER BY tail) - 1 AS i FROM (SELECT DISTINCT tail FROM go ORDER BY tail LIMIT 512))"))
 def annotation_multihot(s: Sources) -> DataFrame:
-    edges = s.edges()
+    edges = s.stored_edges()
     genes = G.build_nodes(edges).where("node_type = 'Gene'")
     return X.go_multihot(genes, edges.where("edge_type = 'annotated_with'")).select(
         "node_id", F.col("width").alias("width_terms"), F.concat_ws(",", F.col("indices").cast("array<string>")).alias("indices")
@@ -263,13 +263,13 @@ def drug_fingerprints(s: Sources) -> DataFrame:
     """walk AS (SELECT DISTINCT head AS id, CAST(0 AS INTEGER) AS depth FROM pp WHERE head NOT IN (SELECT tail FROM pp)
     UNION SELECT pp.tail, depth + 1 FROM walk JOIN pp ON pp.head = id)""", recursive=True))
 def pathway_structure(s: Sources) -> DataFrame:
-    edges = s.edges("gene_pathway", "pathway_pathway")
+    edges = s.stored_edges("gene_pathway", "pathway_pathway")
     return X.pathway_structure(G.build_nodes(edges), edges)
 
 
 @query("F10, C16, C8", with_tables("go", """SELECT tail AS node_id, 'BP' AS namespace, round(-ln(count(*) / (SELECT count(*) FROM go)), 6) AS information_content FROM go GROUP BY tail"""))
 def term_structure(s: Sources) -> DataFrame:
-    edges = s.edges("gene_go")
+    edges = s.stored_edges("gene_go")
     return X.term_structure(G.build_nodes(edges), edges).withColumn("information_content", F.round("information_content", 6))
 
 
@@ -278,7 +278,7 @@ def term_structure(s: Sources) -> DataFrame:
     CASE node_type WHEN 'Gene' THEN 2 + least(512, (SELECT count(*) FROM nodes WHERE node_type = 'GOTerm')) WHEN 'Disease' THEN count(*) OVER (PARTITION BY node_type)
       WHEN 'Drug' THEN 2048 WHEN 'Pathway' THEN 2 ELSE 4 END AS w FROM nodes) GROUP BY 1"""))
 def feature_widths(s: Sources) -> DataFrame:
-    edges = s.edges()
+    edges = s.stored_edges()
     return X.all_features(G.build_nodes(edges), edges, "go").groupBy("node_type").agg(
         F.count(F.lit(1)).alias("nodes"), F.max("width").alias("width")
     )

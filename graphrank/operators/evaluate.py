@@ -177,62 +177,66 @@ def sample_tails(
     params = spark.createDataFrame(
         [(rel, n, next_prime(n)) for rel, n in sizes.items()], "relation string, _size bigint, _prime bigint"
     )
-    links = known.select(*TRIPLE).distinct()
-    blocked = links.join(index.select("relation", "tail"), ["relation", "tail"], "left_semi")
-    degree = blocked.groupBy(*_QUERY).agg(F.count(F.lit(1)).alias("_deg"))
-    tail_known = F.lit(1) - F.coalesce(F.col("_hit"), F.lit(0))
-    digest = stable_hash(F.col("seed"), F.col("head"), F.col("relation"), F.col("true_tail"))
+    wanted = positives.select(*TRIPLE).distinct()
+    # the walk is done on numbers: a query, a walker and a tail are one long each
+    queries = materialize(wanted.select(*_QUERY).distinct().withColumn("_q", F.monotonically_increasing_id()))
+    blocked = materialize(
+        known.select(*TRIPLE).distinct().join(queries, _QUERY).join(index, ["relation", "tail"]).select("_q", "_pos")
+    )
+    degree = blocked.groupBy("_q").agg(F.count(F.lit(1)).alias("_deg"))
+    own = index.select("relation", F.col("tail"), F.col("_pos").alias("_true"))
+    digest = stable_hash(F.col("seed"), F.col("head"), F.col("relation"), F.col("tail"))
+    is_known = blocked.select("_q", F.col("_pos").alias("_true"), F.lit(1).alias("_hit"))
+    # a true tail that is no known link, but a tail of the relation, is not open to itself
+    self_open = F.when(F.col("_true").isNotNull() & F.col("_hit").isNull(), 1).otherwise(0)
     walkers = materialize(
-        positives.select("head", "relation", F.col("tail").alias("true_tail"))
-        .distinct()
-        .join(degree, _QUERY, "left")
-        .join(links.select("head", "relation", F.col("tail").alias("true_tail"), F.lit(1).alias("_hit")),
-              ["head", "relation", "true_tail"], "left")
+        wanted.join(queries, _QUERY)
+        .join(own, ["relation", "tail"], "left")
+        .join(degree, "_q", "left")
+        .join(is_known, ["_q", "_true"], "left")
         .join(F.broadcast(params), "relation")
         .withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
         .withColumn("_h", digest)
         .select(
-            "seed", "head", "relation", "true_tail", "_size", "_prime",
+            "seed", "head", "relation", F.col("tail").alias("true_tail"), "_q", "_true", "_size", "_prime",
             (1 + hash_number(F.col("_h"), 1, 15) % F.greatest(F.col("_prime") - 1, F.lit(1))).alias("_a"),
             (hash_number(F.col("_h"), 16, 15) % F.col("_prime")).alias("_b"),
-            F.greatest(F.col("_size") - F.coalesce("_deg", F.lit(0)) - tail_known, F.lit(0)).alias("_open"),
+            F.greatest(F.col("_size") - F.coalesce("_deg", F.lit(0)) - self_open, F.lit(0)).alias("_open"),
         )
         .withColumn("_want", F.least(F.lit(per_positive).cast("bigint"), F.col("_open")))
+        .withColumn("_w", F.monotonically_increasing_id())
     )
     # expected length of the walk, with some slack; the whole cycle is the upper end
     expected = F.ceil(1.25 * F.col("_want") * F.col("_prime") / F.greatest(F.col("_open"), F.lit(1))) + 16
-    pending = walkers.where("_want > 0").withColumn("_len", F.least(expected, F.col("_prime")))
-    who = ["seed", "head", "relation", "true_tail"]
+    numbers = ["_w", "_q", "_true", "_size", "_prime", "_a", "_b", "_want"]
+    pending = walkers.where("_want > 0").select(*numbers, F.least(expected, F.col("_prime")).alias("_len"))
     parts = []
     while True:
         steps = pending.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1)))
-        visited = steps.withColumn("_pos", (F.col("_a") * F.col("_j") + F.col("_b")) % F.col("_prime"))
-        eligible = (
-            visited.where("_pos < _size")
-            .join(index, ["relation", "_pos"])
-            .where(F.col("tail") != F.col("true_tail"))
-            .join(blocked, list(TRIPLE), "left_anti")
+        at = ((F.col("_a") * F.col("_j") + F.col("_b")) % F.col("_prime")).alias("_pos")
+        visited = steps.select("_w", "_q", "_want", "_j", at, "_size", "_true").where(
+            (F.col("_pos") < F.col("_size")) & (F.col("_true").isNull() | (F.col("_pos") != F.col("_true")))
         )
-        # a positive owns at most its walk length of rows
-        order = Window.partitionBy(*who).orderBy("_j")
+        eligible = visited.select("_w", "_q", "_want", "_j", "_pos").join(blocked, ["_q", "_pos"], "left_anti")
+        # a walker owns at most its walk length of rows
+        place = F.row_number().over(Window.partitionBy("_w").orderBy("_j"))
         got = materialize(
-            eligible.withColumn("_rank", F.row_number().over(order))
-            .where("_rank <= _want")
-            .select(*who, "tail", "_rank")
+            eligible.withColumn("_rank", place).where("_rank <= _want").select("_w", "_pos", "_rank")
         )
-        parts.append(got)
-        full = got.groupBy(*who).agg(F.max("_rank").cast("bigint").alias("_got"))
+        full = got.groupBy("_w").agg(F.max("_rank").cast("bigint").alias("_got"))
         short = materialize(
-            pending.join(full, who, "left").where(F.coalesce("_got", F.lit(0)) < F.col("_want")).drop("_got")
+            pending.join(full, "_w", "left").where(F.coalesce("_got", F.lit(0)) < F.col("_want")).drop("_got")
         )
         if short.isEmpty():
+            parts.append(got)
             break
-        parts[-1] = got.join(short, who, "left_anti")
+        parts.append(got.join(short, "_w", "left_anti"))
         pending = short.withColumn("_len", F.least(F.col("_len") * 2, F.col("_prime")))
-    out = parts[0]
+    drawn = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*who, "tail")
+        drawn = drawn.unionByName(part)
+    who = ["seed", "head", "relation", "true_tail"]
+    return drawn.join(walkers.select("_w", *who), "_w").join(index, ["relation", "_pos"]).select(*who, "tail")
 
 
 def candidate_triples(positives: DataFrame, sampled: DataFrame, seeds: Sequence[int] = (13,)) -> DataFrame:
@@ -256,18 +260,39 @@ def evaluate_scores(
     :func:`candidate_triples` and a scorer.
     """
     keys = list(keys)
-    positives = scored.where("label = 1")
     counts = scored.groupBy(*keys).agg(
         F.sum("label").alias("num_positives"), F.sum(1 - F.col("label")).alias("num_negatives")
     )
     out = counts.join(auroc(scored, keys), keys).join(auprc(scored, keys), keys)
-    candidates = scored.select(*keys, *TRIPLE, "score")
-    for name, flag in (("raw", False), ("filtered", True)):
-        ranks = filtered_ranks(candidates, positives.select(*keys, *TRIPLE), known, keys, flag)
-        metrics = ranking_metrics(ranks, keys, ks)
-        renamed = metrics.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in metrics.columns if c not in keys])
-        out = out.join(renamed, keys)
-    return out
+    # positives need not be looked up again: their ranks follow from the histogram of their score
+    query = [*keys, *_QUERY]
+    hist = materialize(
+        _with_known(scored.select(*query, "tail", "label", "score"), known)
+        .groupBy(*query, "score")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(~F.col("known")).alias("open"),
+            F.count_if((F.col("label") == 1) & F.col("known")).alias("pos_known"),
+            F.count_if((F.col("label") == 1) & ~F.col("known")).alias("pos_open"),
+        )
+        .withColumn("_down", -F.col("score"))
+    )
+    placed = with_running_sums(hist, query, "_down", ["n", "open"]).where("pos_known + pos_open > 0")
+    raw = 1.0 + F.col("before_n") + 0.5 * (F.col("n") - 1)
+    among_open = 1.0 + F.col("before_open") + 0.5 * F.col("open")
+    cases = F.array(
+        F.struct(F.col("pos_known").alias("w"), raw.alias("raw"), among_open.alias("filtered")),
+        F.struct(F.col("pos_open").alias("w"), raw.alias("raw"), (among_open - 0.5).alias("filtered")),
+    )
+    weighted = placed.select(*keys, F.explode(cases).alias("_c")).select(*keys, "_c.*").where("w > 0")
+    metrics = [
+        (F.sum(F.col("w") * value) / F.sum("w")).alias(f"{name}_{label}")
+        for name in ("raw", "filtered")
+        for label, value in [
+            *[(f"hits_at_{k}", (F.col(name) <= k).cast("double")) for k in ks], ("mrr", 1.0 / F.col(name))
+        ]
+    ]
+    return out.join(weighted.groupBy(*keys).agg(*metrics), keys)
 
 
 def evaluate_model(

@@ -134,15 +134,17 @@ def shared_pathway_paths(
     )
     # one more gene than asked for, in case the candidate itself is skipped
     room = per_hit + (1 if exclude_self else 0)
-    reached = links.join(member, "gene")
+    tails = hits.select("head", "tail").distinct().join(
+        member.select(F.col("gene").alias("tail"), "pathway"), "tail"
+    )
+    # pathways no hit of the head belongs to are dropped before genes are ranked
+    reached = links.join(member, "gene").join(tails.select("head", "pathway"), ["head", "pathway"], "left_semi")
     first_genes = top_per_key(reached.select("head", "pathway", "gene"), ["head", "pathway"], [F.asc("gene")], room, "_g")
     # one row per head and pathway
     covered = first_genes.groupBy("head", "pathway").agg(
         F.array_sort(F.collect_list("gene")).alias("_genes")
     )
-    own = hits.select("head", "tail").distinct().join(
-        member.select(F.col("gene").alias("tail"), "pathway"), "tail"
-    ).join(covered, ["head", "pathway"]).join(sizes, "pathway")
+    own = tails.join(covered, ["head", "pathway"]).join(sizes, "pathway")
     if exclude_self:
         own = own.withColumn("_genes", F.array_remove("_genes", F.col("tail"))).where(F.size("_genes") > 0)
     # a hit keeps the pathways of its `per_hit` smallest sizes, ties included

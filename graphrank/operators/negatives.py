@@ -20,9 +20,9 @@ _DENSE = 4  # enumerate when the pair space is at most this many times (wanted +
 _CHUNK = 4096
 
 
-def draws_for(wanted: int) -> int:
-    """Positions drawn for ``wanted`` pairs in a sparse pair space."""
-    return 2 * wanted + 64
+def draws_for(wanted: int, forbidden: int, space: int) -> int:
+    """Positions drawn for ``wanted`` pairs: room for repeats and forbidden pairs, and some slack."""
+    return wanted + wanted // 8 + 2 * wanted * (wanted + forbidden) // space + 64
 
 
 def _counts(df: DataFrame) -> dict[str, int]:
@@ -55,7 +55,7 @@ def _proposals(spark, sizes: dict, wanted: dict, forbidden: dict, seed: int, sta
         else:
             digest = stable_hash(seed, stage, F.col("edge_type"), F.col("_j"))
             parts.append(
-                _positions(spark, edge_type, draws_for(n) * factor)
+                _positions(spark, edge_type, draws_for(n, forbidden.get(edge_type, 0), space) * factor)
                 .withColumn("_h", digest)
                 .select(
                     "edge_type",
@@ -67,19 +67,16 @@ def _proposals(spark, sizes: dict, wanted: dict, forbidden: dict, seed: int, sta
     return _union(parts)
 
 
-def _named(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Index pairs to ids. The joins are on evenly spread positions."""
-    heads = sources.select("edge_type", F.col("id").alias("src"), F.col("idx").alias("_s"))
-    tails = targets.select("edge_type", F.col("id").alias("dst"), F.col("idx").alias("_d"))
-    return pairs.join(heads, ["edge_type", "_s"]).join(tails, ["edge_type", "_d"])
+def _ends(index: DataFrame, name: str, position: str) -> DataFrame:
+    return index.select("edge_type", F.col("id").alias(name), F.col("idx").alias(position))
 
 
-def _first_by_hash(pairs: DataFrame, wanted: dict[str, int]) -> DataFrame:
+def _first_by_hash(pairs: DataFrame, wanted: dict[str, int], columns: tuple[str, str] = ("src", "dst")) -> DataFrame:
     cuts = pairs.sparkSession.createDataFrame(
         [(e, "n", n) for e, n in wanted.items()], "edge_type string, cut string, n bigint"
     )
     limits = nth_hashes(pairs, ["edge_type"], "_digest", cuts).select("edge_type", F.col("digest").alias("_limit"))
-    return pairs.join(F.broadcast(limits), "edge_type").where("_digest <= _limit").select("edge_type", "src", "dst")
+    return pairs.join(F.broadcast(limits), "edge_type").where("_digest <= _limit").select("edge_type", *columns)
 
 
 def sample_negatives(
@@ -145,24 +142,30 @@ def sample_negatives(
     head_counts, tail_counts, taken = _counts(heads), _counts(tails), _counts(blocked)
     sizes = {e: (head_counts.get(e, 0), tail_counts.get(e, 0)) for e in wanted}
     open_ = {e: n for e, n in wanted.items() if sizes[e][0] * sizes[e][1] > 0}
+    head_ends, tail_ends = _ends(head_index, "src", "_s"), _ends(tail_index, "dst", "_d")
+    # pairs are compared as positions; only the chosen ones are turned back into ids
+    blocked_at = blocked.join(head_ends, ["edge_type", "src"]).join(tail_ends, ["edge_type", "dst"]).select(
+        "edge_type", "_s", "_d"
+    )
     results, factor = [], 1
     while open_:
-        pairs = _named(_proposals(spark, sizes, open_, taken, seed, stage, factor), head_index, tail_index)
-        digest = stable_hash(seed, stage, F.col("edge_type"), F.col("src"), F.col("dst"))
         eligible = materialize(
-            pairs.select("edge_type", "src", "dst")
-            .join(blocked, ["edge_type", "src", "dst"], "left_anti")
-            .withColumn("_digest", digest)
+            _proposals(spark, sizes, open_, taken, seed, stage, factor)
+            .join(blocked_at, ["edge_type", "_s", "_d"], "left_anti")
+            .withColumn("_digest", stable_hash(seed, stage, F.col("edge_type"), F.col("_s"), F.col("_d")))
         )
         found = _counts(eligible)
         drawn = {e for e, n in open_.items() if sizes[e][0] * sizes[e][1] > _DENSE * (n + taken.get(e, 0))}
         short = {e for e in drawn if found.get(e, 0) < open_[e]}  # drawn too few: draw more
         done = {e: n for e, n in open_.items() if e not in short}
         if done:
-            results.append(_first_by_hash(eligible.where(F.col("edge_type").isin(list(done))), done))
+            results.append(_first_by_hash(eligible.where(F.col("edge_type").isin(list(done))), done, ("_s", "_d")))
         open_ = {e: open_[e] for e in short}
         factor *= 2
-    return _union(results) if results else empty
+    if not results:
+        return empty
+    chosen = _union(results).join(head_ends, ["edge_type", "_s"]).join(tail_ends, ["edge_type", "_d"])
+    return chosen.select("edge_type", "src", "dst")
 
 
 def _highest_degree_sums(

@@ -45,6 +45,11 @@ def drop_duplicates_by(df: DataFrame, keys: Sequence[str], prefer: Sequence[Colu
     return first_per_key(df, keys, order) if order else df.distinct()
 
 
+def best_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key with its best score: a hash aggregate with map-side combine, no sort."""
+    return df.groupBy(*keys).agg(F.max("score").alias("score"))
+
+
 # --------------------------------------------------------------------------- identifier hub
 
 
@@ -147,9 +152,8 @@ def disease_genes(associations: DataFrame, disease: str | None = DEFAULT_DISEASE
         F.col(disease_column).cast("string").alias("disease_id"),
         gene_id(F.col(gene_column)).alias("gene_id"),
         numeric(F.col(score_column)).alias("score"),
-        F.lit("Open Targets").alias("source"),
     ).where((F.col("gene_id").isNotNull()) & (F.col("score") >= min_score))
-    return drop_duplicates_by(shaped, ["disease_id", "gene_id"], [F.desc("score")])
+    return best_score(shaped, ["disease_id", "gene_id"]).withColumn("source", F.lit("Open Targets"))
 
 
 def seed_genes(associations: DataFrame, max_genes: int | None = None) -> DataFrame:
@@ -179,7 +183,7 @@ def confident_links(links: DataFrame, threshold: float = 700) -> DataFrame:
         F.col(b).cast("string").alias("string_protein_b"),
         numeric(F.col(score)).alias("score"),
     ).where(F.col("score") >= threshold)
-    return drop_duplicates_by(shaped, ["string_protein_a", "string_protein_b"], [F.desc("score")])
+    return best_score(shaped, ["string_protein_a", "string_protein_b"])
 
 
 def links_to_genes(links: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def links_to_genes(links: DataFrame, proteins: DataFrame) -> DataFrame:
         .where("gene_a <> gene_b")
         .select("gene_a", "gene_b", "score")
     )
-    return drop_duplicates_by(mapped, ["gene_a", "gene_b"], [F.desc("score")])
+    return best_score(mapped, ["gene_a", "gene_b"])
 
 
 def gene_links(links: DataFrame, threshold: float = 700) -> DataFrame:
@@ -204,7 +208,7 @@ def gene_links(links: DataFrame, threshold: float = 700) -> DataFrame:
     shaped = links.select(
         gene_id(F.col(a)).alias("gene_a"), gene_id(F.col(b)).alias("gene_b"), numeric(F.col(score)).alias("score")
     ).where((F.col("score") >= threshold) & (F.col("gene_a") != F.col("gene_b")))
-    return drop_duplicates_by(shaped, ["gene_a", "gene_b"], [F.desc("score")])
+    return best_score(shaped, ["gene_a", "gene_b"])
 
 
 def expand_one_hop(seeds: DataFrame, links: DataFrame, max_total_genes: int | None = None) -> DataFrame:

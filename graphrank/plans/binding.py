@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphrank.operators import graph, normalize
+from graphrank.plans.lineage import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +166,10 @@ class Sources:
         }
         return graph.assemble_edges({n: makers[n]() for n in (names or makers)}, normalize.UNIQUE_PAIRS)
 
+    def stored_edges(self, *names: str) -> DataFrame:
+        """Edges stored once, for jobs that read them several times."""
+        return materialize(self.edges(*names))
+
     def gene_attributes(self) -> DataFrame:
         return self.table("part").select(
             gene_key(F.col("p_partkey")).alias("gene_id"), F.upper("p_name").alias("symbol")
