@@ -110,7 +110,7 @@ def sample_negatives(
     if not wanted:
         return empty
     names = list(wanted)
-    blocked = forbidden.where(F.col("edge_type").isin(names)).select("edge_type", "src", "dst").distinct()
+    blocked = forbidden.where(F.col("edge_type").isin(names)).select("edge_type", "src", "dst")
     heads = sources.where(F.col("edge_type").isin(names)).select("edge_type", "id").distinct()
     tails = targets.where(F.col("edge_type").isin(names)).select("edge_type", "id").distinct()
 
@@ -139,7 +139,7 @@ def sample_negatives(
 
     head_index = dense_index(heads, ["edge_type"], [F.col("id")])
     tail_index = dense_index(tails, ["edge_type"], [F.col("id")])
-    head_counts, tail_counts, taken = _counts(heads), _counts(tails), _counts(blocked)
+    head_counts, tail_counts, taken = _counts(head_index), _counts(tail_index), _counts(blocked)
     sizes = {e: (head_counts.get(e, 0), tail_counts.get(e, 0)) for e in wanted}
     open_ = {e: n for e, n in wanted.items() if sizes[e][0] * sizes[e][1] > 0}
     head_ends, tail_ends = _ends(head_index, "src", "_s"), _ends(tail_index, "dst", "_d")

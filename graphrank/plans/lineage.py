@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, store it reliably and return a plan that reads the stored rows.
+    """Compute ``df`` once, store it in the shared folder and return a plan that reads the stored rows.
 
     Used where two later plans must see exactly the same rows (positions,
-    samples) and to cut the lineage of loops. It survives the loss of executors.
+    samples) and to cut the lineage of loops. A written table survives the loss
+    of executors, later plans read only the columns they need, and its known
+    size lets small sides be broadcast.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
