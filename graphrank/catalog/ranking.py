@@ -24,14 +24,15 @@ from graphrank.plans.binding import Sources, gene_key
 from graphrank.plans.lineage import materialize
 from graphrank.sources import tables as T
 
-_TOP = "top AS MATERIALIZED (SELECT tail, score, row_number() OVER (ORDER BY score DESC, tail) AS rank FROM pop ORDER BY score DESC, tail LIMIT 20)"
+_TOP = "top AS MATERIALIZED (SELECT tail, score, row_number() OVER (ORDER BY score DESC, tail) AS rank FROM pop WHERE tail IN (SELECT tail FROM dg) ORDER BY score DESC, tail LIMIT 20)"
 _HITS = "hits AS MATERIALIZED (SELECT h.head, t.tail, t.score, t.rank FROM (SELECT DISTINCT head FROM dg) h, top t)"
 
 
 def ranked_by_popularity(s: Sources, top_k: int = 20) -> tuple[DataFrame, DataFrame]:
     """Top targets of every head, and the known links."""
     known = materialize(disease_triples(s))
-    return X.rank_targets_by_tail(known.select("head"), R.popularity(known), known, top_k), known
+    scored = R.score_by_tail(known.select("tail").distinct(), R.popularity(known))
+    return X.rank_targets_by_tail(known.select("head"), scored, known, top_k), known
 
 
 @query("X1, B1", with_tables("dg pop", """SELECT h.head, h.tail, h.score, CAST(h.rank AS INTEGER) AS rank, d.tail IS NOT NULL AS known, d.tail IS NULL AS hypothesis
@@ -69,7 +70,7 @@ def found_genes(s: Sources) -> DataFrame:
 
 
 # every path of every hit, ranked; the hits are the 3 most popular parts of every head
-_HITS3 = "hits AS MATERIALIZED (SELECT h.head, t.tail FROM (SELECT DISTINCT head FROM dg) h, (SELECT tail FROM pop ORDER BY score DESC, tail LIMIT 3) t)"
+_HITS3 = "hits AS MATERIALIZED (SELECT h.head, t.tail FROM (SELECT DISTINCT head FROM dg) h, (SELECT tail FROM pop WHERE tail IN (SELECT tail FROM dg) ORDER BY score DESC, tail LIMIT 3) t)"
 _SHARED = """shared AS MATERIALIZED (SELECT h.head, h.tail, 'disease->gene->pathway->gene' AS schema, 'shared_pathway' AS evidence, k.tail AS gene, a.tail AS pathway, 1 + 1 / CAST(s.n AS DOUBLE) AS score
     FROM hits h JOIN gp a ON a.head = h.tail JOIN gp b ON b.tail = a.tail JOIN dg k ON k.head = h.head AND k.tail = b.head
     JOIN (SELECT tail, count(*) AS n FROM gp GROUP BY 1) s ON s.tail = a.tail)"""

@@ -100,7 +100,7 @@ def rank_targets(scored: DataFrame, known: DataFrame, top_k: int = 20) -> DataFr
 def rank_targets_by_tail(heads: DataFrame, tail_scores: DataFrame, known: DataFrame, top_k: int = 20) -> DataFrame:
     """:func:`rank_targets` for a score that depends on the tail only.
 
-    All heads share one list of ``top_k`` tails, so heads x tails is never
+    ``tail_scores`` has one row per possible target. All heads share one list of ``top_k`` tails, so heads x tails is never
     built: the list (at most 100 entries) is one array attached to every head.
     """
     _check_top_k(top_k)
