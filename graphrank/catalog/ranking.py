@@ -368,9 +368,9 @@ def design_grid(s: Sources) -> DataFrame:
         links = rows if links is None else links.unionByName(rows)
     typed = materialize(G.with_reverse(message.select(
         F.lit("disease").alias("src_type"), F.col("edge_type").alias("relation"), F.lit("gene").alias("dst_type"), "src", "dst")))
-    vectors = None
+    vectors, features = None, materialize(_grid_features(s, parts))
     for name in A.FEATURE_CHOICES:
-        x = materialize(_grid_features(s, parts).where(F.col("features") == name).drop("features"))
+        x = features.where(F.col("features") == name).drop("features")
         for layers in A.LAYER_CHOICES:
             x = materialize(P.relation_means(typed, x, 2))
             made = x.select(F.lit(name).alias("features"), F.lit(layers).alias("num_layers"), F.col("node_id").alias("node"), unit(F.col("x")).alias("vector"))
