@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphrank.llm import language, line_dedup, mixing, packing
+from graphrank.llm import jaccard, language, line_dedup, mixing, packing
 from graphrank.llm.registry import query, read
 from graphrank.llm.sql import OP2, OP5
 
@@ -46,3 +46,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_definition())
+
+
+@query()
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(read(spark, sf_dir, "documents"), jaccard.Rule(size=4, percent=85))
