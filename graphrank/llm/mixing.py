@@ -76,7 +76,8 @@ def position_of(words_before: Column) -> Column:
 
 def mix(documents: DataFrame, weights: tuple[float, ...], tilt: tuple[float, ...], share: float, passes: float,
         keep: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Columns ``keep`` as struct ``row``, and size, source_size, target, taken, position (null if not taken).
+    """Columns ``keep`` as struct ``row``, and size, source_size, target, taken, position (null if not taken),
+    start, end, weight, words_before.
 
     A source's target is met to the word: whole passes over it, then its first documents
     once more, of which the last is cut. No group is ordered in one task: a source is cut into
@@ -110,4 +111,13 @@ def mix(documents: DataFrame, weights: tuple[float, ...], tilt: tuple[float, ...
     return placed.select(
         "row", "size", "source_size", "target", taken.alias("taken"),
         F.when(taken > 0, position_of(F.col("_before"))).alias("position"),
+        "start", "end", "weight", F.col("_before").alias("words_before"),
     )
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """The rows that training sees, range-sorted by position: a document comes once for each pass that takes words of it."""
+    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    seen = mixed.where("taken > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    placed = seen.withColumn("position", position_of(F.col("words_before") + F.col("_pass") * F.col("source_size")))
+    return placed.orderBy("position").select("row.*")
