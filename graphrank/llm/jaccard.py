@@ -8,12 +8,13 @@ a 63-bit hash whose sign says whether it is frequent, so the order of the number
    They decide the order only; any set gives the same links.
 3. A set's prefix is so long that two sets with a link share an n-gram of their prefixes. Prefix
    n-grams are range-partitioned with their documents and streamed; each run of equal n-grams
-   gets a pivot, the document in which the n-gram stands earliest.
-4. Documents are compared with their pivots first, which joins large groups of copies with one link per
-   member, then with members of other components that share the n-gram. Length, position and
-   prefix bounds remove pairs that cannot reach the threshold.
-5. For the pairs left, the global order is cut into fragments. Overlaps are counted for each fragment
-   apart and summed per pair: the exact intersection.
+   gets a pivot, the document with the fewest rare n-grams. Documents with the same pivot are a group.
+4. Documents are compared with their pivots first: a large group of copies is joined by one link per member.
+   Then each member that its pivot did not reach is compared with the members of other components: in small groups
+   pair by pair, in large ones block by block, where a task puts out links only. Length, position and prefix
+   bounds remove pairs that cannot reach the threshold.
+5. The global order is cut into fragments. Overlaps are counted for each fragment apart and summed per
+   pair: the exact intersection.
 
 Sets are compared as 63-bit hashes, classes and fragments likewise. Words are runs of characters
 other than the six white spaces, A-Z lower-cased; a text with fewer words than ``size`` is one n-gram.
@@ -42,6 +43,8 @@ from graphrank.llm.components import components
 _CHARS, _COUNTED = 1 << 22, 1 << 22
 #: Fragments of the global order.
 FRAGMENTS = 8
+#: Groups of more members are compared block by block, of about so many documents.
+SMALL, BLOCK = 64, 512
 #: Bits of the bitmaps of documents: 8 MB.
 BITMAP_BITS = 1 << 26
 #: The part of the hash range whose n-grams are counted is 1 / 4: two leading bits are 0.
@@ -262,8 +265,8 @@ def prefixes_of(documents: DataFrame, classes: DataFrame, rule: Rule, frequent:
 # ---- runs of equal prefix n-grams ----
 
 _RUN, _OPEN, _EDGE = 0, 1, 2
-_ENTRY = ("ngram", "place", "node", "n")
-_RUNS = "kind int, ngram long, place int, node long, n int, pivot_place int, pivot long, pivot_n int, entries long"
+_ENTRY = ("ngram", "rare", "node", "n", "place")
+_RUNS = "kind int, ngram long, rare int, node long, n int, place int, pivot_rare int, pivot long, pivot_n int, pivot_place int, entries long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +278,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(rows[0])
         columns = [np.full(n, kind, dtype=np.int32), *rows, *pivot[1:], np.full(n, entries, dtype=np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns],
-                                          names=["kind", *_ENTRY, "pivot_place", "pivot", "pivot_n", "entries"])
+                                          names=["kind", *_ENTRY, "pivot_rare", "pivot", "pivot_n", "pivot_place", "entries"])
 
     def single(entry: tuple, types: list[np.ndarray]) -> list[np.ndarray]:
         return [np.array([v], dtype=t.dtype) for v, t in zip(entry, types, strict=True)]
@@ -340,17 +343,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_entries(prefixes: DataFrame) -> DataFrame:
-    """ngram, place, node, n, pivot, pivot_place, pivot_n for every prefix n-gram of two sets or more."""
-    entries = prefixes.select("node", "n", F.posexplode("prefix").alias("place", "ngram")).select(*_ENTRY)
-    ranged = entries.repartitionByRange(shuffle_partitions(prefixes.sparkSession), "ngram", "place", "node")
-    found = materialize(ranged.sortWithinPartitions("ngram", "place", "node").mapInArrow(_runs, _RUNS))
+    """node, n, place and pivot, pivot_n, pivot_place for every prefix n-gram of two sets or more."""
+    rare = F.size(F.filter("prefix", lambda x: x < 0))
+    entries = prefixes.select("node", "n", rare.alias("rare"), F.posexplode("prefix").alias("place", "ngram")).select(*_ENTRY)
+    ranged = entries.repartitionByRange(shuffle_partitions(prefixes.sparkSession), "ngram", "rare", "node")
+    found = materialize(ranged.sortWithinPartitions("ngram", "rare", "node").mapInArrow(_runs, _RUNS))
     # two rows a task at most
     edges = found.where(F.col("kind") == _EDGE).groupBy("ngram").agg(
-        F.sum("entries").alias("_entries"), F.min(F.struct("place", "node", "n")).alias("_first")).where("_entries > 1")
-    names = ["ngram", "place", "node", "n"]
-    closed = found.where(F.col("kind") == _RUN).select(*names, "pivot", "pivot_place", "pivot_n")
+        F.sum("entries").alias("_entries"), F.min(F.struct("rare", "node", "n", "place")).alias("_first")).where("_entries > 1")
+    names = ["node", "n", "place"]
+    closed = found.where(F.col("kind") == _RUN).select(*names, "pivot", "pivot_n", "pivot_place")
     still_open = found.where(F.col("kind") == _OPEN).join(edges, "ngram").select(
-        *names, F.col("_first.node").alias("pivot"), F.col("_first.place").alias("pivot_place"), F.col("_first.n").alias("pivot_n"))
+        *names, F.col("_first.node").alias("pivot"), F.col("_first.n").alias("pivot_n"), F.col("_first.place").alias("pivot_place"))
     return closed.unionByName(still_open)
 
 
@@ -395,11 +399,8 @@ def _segments(documents: DataFrame, members: DataFrame, rule: Rule) -> DataFrame
     return cut_rows.join(members.select("node"), "node")
 
 
-def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+def verified(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b, na, nb) that are links, by overlaps per fragment, summed."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    members = materialize(classes.join(nodes, "node", "left_semi"))
-    segments = materialize(_segments(documents, members, rule))
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("ngrams").alias("sa"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("ngrams").alias("sb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
@@ -410,14 +411,88 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, rule: R
     return summed.where(rule.reachable(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _candidates(first: DataFrame, second: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct pairs of entries of one n-gram. ``first`` is the smaller set; its n-gram must stand early."""
-    a = first.select("ngram", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "comp")])
-    b = second.select("ngram", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "comp")])
-    bounded = _bounded(rule, F.col("place_a"), F.col("n_a"), F.col("place_b"), F.col("n_b"))
-    smaller = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
-    met = a.join(b, "ngram").where(smaller & bounded & (F.col("comp_a") != F.col("comp_b")))
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
+def _near(rule: Rule) -> Column:
+    """Whether members _a and _b of a group can be linked and are not yet joined."""
+    reach = F.least("reach_a", "reach_b")
+    return (F.col("comp_a") != F.col("comp_b")) & rule.reachable(reach, F.col("n_a"), F.col("n_b"))
+
+
+def _side(members: DataFrame, name: str) -> DataFrame:
+    return members.select("pivot", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "reach", "comp", "outside")])
+
+
+def _small_pairs(members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of groups of at most ``SMALL`` members, of which one at least is outside its pivot's component."""
+    first, second = _side(members.where("outside"), "a"), _side(members, "b")
+    both = first.join(second, "pivot").where(
+        _near(rule) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b"))) & (F.col("node_b") != F.col("pivot")))
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _block_links(rule: Rule):
+    percent = rule.percent
+
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between two blocks of a group, as many as join its components: a forest, never all pairs."""
+        sides = []
+        for side in (0, 1):
+            part = rows[rows["side"] == side]
+            head = part.drop_duplicates("node").sort_values("node")
+            sides.append((head["node"].to_numpy(), head["n"].to_numpy(dtype=np.int64), head["comp"].to_numpy(), part.drop_duplicates(["node", "fragment"])))
+        (node_a, n_a, comp_a, part_a), (node_b, n_b, comp_b, part_b) = sides
+        overlap = np.zeros((len(node_a), len(node_b)), dtype=np.float32)
+        for fragment in np.intersect1d(part_a["fragment"].unique(), part_b["fragment"].unique()):
+            cells = []
+            for part, nodes in ((part_a, node_a), (part_b, node_b)):
+                some = part[part["fragment"] == fragment]
+                values = list(some["ngrams"])
+                row = np.repeat(np.searchsorted(nodes, some["node"].to_numpy()), [len(v) for v in values])
+                cells.append((row, np.concatenate(values) if values else np.empty(0, dtype=np.int64)))
+            common = np.intersect1d(cells[0][1], cells[1][1])
+            for at in range(0, len(common), 4096):
+                names = common[at : at + 4096]
+                dense = []
+                for (row, value), nodes in zip(cells, (node_a, node_b), strict=True):
+                    column = np.minimum(np.searchsorted(names, value), len(names) - 1)
+                    hit = names[column] == value
+                    matrix = np.zeros((len(nodes), len(names)), dtype=np.float32)
+                    matrix[row[hit], column[hit]] = 1
+                    dense.append(matrix)
+                overlap += dense[0] @ dense[1].T
+        linked = (100 + percent) * overlap.astype(np.int64) >= percent * (n_a[:, None] + n_b[None, :])
+        linked &= comp_a[:, None] != comp_b[None, :]
+        above: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while above.setdefault(c, c) != c:
+                above[c] = above[above[c]]
+                c = above[c]
+            return c
+
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = find(int(comp_a[i])), find(int(comp_b[j]))
+            if a != b:
+                above[b] = a
+                out.append((int(node_a[i]), int(node_b[j])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return links
+
+
+def _large_links(members: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
+    """Links of groups of more than ``SMALL`` members: members outside their pivot's component against all, in blocks."""
+    first = members.where("outside").withColumn("bo", F.pmod(F.xxhash64("node"), F.ceil(F.col("out") / BLOCK)))
+    first = first.withColumn("ba", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1))).withColumn("side", F.lit(0))
+    second = members.withColumn("ba", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))
+    second = second.withColumn("bo", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("out") / BLOCK) - 1))).withColumn("side", F.lit(1))
+    names = ["pivot", "bo", "ba", "side", "node", "n", "comp"]
+    sent = first.select(*names).unionByName(second.select(*names)).join(segments, "node")
+    return sent.groupBy("pivot", "bo", "ba").applyInPandas(_block_links(rule), "a long, b long")
 
 
 def classes_and_links(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -432,26 +507,31 @@ def classes_and_links(documents: DataFrame, rule: Rule) -> tuple[DataFrame, Data
     frequent = frequent_prints(surveyed.where("bucket IS NOT NULL").select("bucket", "prints", "times"), rule)
     marked = whole.withColumn("_bit", _bit(F.col("doc_id")))
     prefixes = materialize(prefixes_of(marked, classes, rule, frequent, bits))
-    entries = materialize(shared_entries(prefixes))
-
     bounded = _bounded(rule, F.col("place"), F.col("n"), F.col("pivot_place"), F.col("pivot_n"))
-    to_pivot = entries.where((F.col("node") != F.col("pivot")) & bounded).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialize(verified(materialize(_by_prefix(to_pivot, prefixes, rule)), marked, classes, rule))
-    joined = components(links)
+    members = materialize(shared_entries(prefixes).groupBy("pivot", "node", "n").agg(
+        F.max(bounded).alias("bounded"), F.max(F.col("n") - F.col("place")).alias("reach")))
+
+    def segments_of(nodes: DataFrame) -> DataFrame:
+        return materialize(_segments(marked, materialize(classes.join(nodes.distinct(), "node", "left_semi")), rule))
+
+    to_pivot = members.where((F.col("node") != F.col("pivot")) & F.col("bounded")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pairs = materialize(_by_prefix(to_pivot, prefixes, rule))
+    links = materialize(verified(pairs, segments_of(_ends(pairs)), rule))
+    names = components(links)
 
-    names = joined.select("node", "label")
-    found = entries.join(names, "node", "left").join(
+    found = members.drop("bounded").join(names.select("node", "label"), "node", "left").join(
         names.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left")
     own, lead = F.coalesce("label", "node"), F.coalesce("pivot_label", "pivot")
-    placed = materialize(found.select("ngram", "node", "n", "place", own.alias("comp"), (own != lead).alias("outside")))
-    # the smaller set of a pair has the n-gram within this place
-    early = placed.where(rule.reachable(F.col("n") - F.col("place"), F.col("n"), F.col("n")))
-    outside, inside = F.col("outside"), ~F.col("outside")
-    rest = _candidates(early.where(outside), placed, rule).union(
-        _candidates(early.where(inside), placed.where(outside), rule)).distinct()
-    left = materialize(_by_prefix(rest, prefixes, rule))
-    if not left.isEmpty():
-        links = links.union(materialize(verified(left, marked, classes, rule)))
+    placed = found.select("pivot", "node", "n", "reach", own.alias("comp"), (own != lead).alias("outside"))
+    # a pair apart from the pivot needs a third member
+    sizes = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("outside"), F.lit(1))).alias("out")).where("out > 0 AND size > 2")
+    left = materialize(placed.join(sizes, "pivot"))
+    small = materialize(_by_prefix(_small_pairs(left.where(F.col("size") <= SMALL), rule), prefixes, rule))
+    large = left.where(F.col("size") > SMALL)
+    nodes = _ends(small).union(large.select("node"))
+    if not nodes.isEmpty():
+        segments = segments_of(nodes)
+        links = links.union(materialize(verified(small, segments, rule).union(_large_links(large, segments, rule))))
     return sets, classes, links
 
 
