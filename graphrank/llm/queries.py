@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphrank.llm import jaccard, language, line_dedup, mixing, packing
+from graphrank.llm import ann, html_extract, jaccard, language, licenses, line_dedup, mixing, packing, quality, toxicity
+from graphrank.llm.common import crc_share, materialize
 from graphrank.llm.registry import query, read
 from graphrank.llm.sql import OP2, OP5
 
@@ -51,3 +52,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(read(spark, sf_dir, "documents"), jaccard.Rule(size=4, percent=85))
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.verdicts(read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.vectors_of(read(spark, sf_dir, "embeddings"))
+    index = materialize(ann.build_index(rows))
+    return ann.search(index, rows.where("id % 100 = 0"), k=10)
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = crc_share(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(documents, read(spark, sf_dir, "labels").where(~apart))
+    scored = toxicity.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.fit(pages), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(read(spark, sf_dir, "documents"))
