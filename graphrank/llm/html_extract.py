@@ -34,6 +34,7 @@ FIT_PAGES, FIXED_WEIGHT = 512, 40.0
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+UNENDED = re.compile(r"<[a-zA-Z/][^<>]*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
 NAMES = re.compile(r"(?:\b(?:class|id|role|itemprop)\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
@@ -83,7 +84,7 @@ class Page:
         self.pieces: list[tuple[int, str]] = []
         self.label: list[int] = [0]
         self.landmarks = self.loose = 0
-        text = RAW.sub(" ", source)
+        text = UNENDED.sub(" ", RAW.sub(" ", source))
         stack: list[tuple[str, int]] = [("", 0)]  # open elements with their block
         links = at = 0
         for match in TAG.finditer(text):
@@ -264,7 +265,8 @@ def fit(pages: DataFrame, column: str = "html") -> TreeModel:
                 if page.landmarks == 1:
                     _counts(page, 1.0, links, looks)
         keys = [("link", *map(str, k)) for k in links] + [("look", *map(str, k), "") for k in looks]
-        yield pd.DataFrame({"key": [list(k) for k in keys], "n": [*links.values(), *looks.values()]}, columns=["key", "n"])
+        if keys:
+            yield pd.DataFrame({"key": [list(k) for k in keys], "n": [*links.values(), *looks.values()]})
 
     found = rows.where(draw < FIT_PAGES / max(1, total)).mapInPandas(count, "key array<string>, n double").groupBy("key").agg(F.sum("n").alias("n")).collect()
     links: Counter = Counter()

@@ -65,17 +65,24 @@ def _stream(min_docs: int, keep_first: bool):
         def take(rows: list[np.ndarray], where) -> list[np.ndarray]:
             return [r[where] for r in rows]
 
-        def edge(rows: list[np.ndarray], docs: int, is_first_run: bool) -> Iterator[pa.RecordBatch]:
+        def decided(rows: list[np.ndarray], first: tuple, first_run: bool) -> Iterator[pa.RecordBatch]:
+            """Rows of a common line. The first occurrence, also when its row is repeated, may stay."""
+            if keep_first:
+                own = np.logical_and.reduce([r == v for r, v in zip(rows, first, strict=True)])
+                if first_run and own.any():
+                    yield out(_OPEN, take(rows, own))
+                rows = take(rows, ~own)
+            if len(rows[0]):
+                yield out(_DROP, rows)
+
+        def edge(rows: list[np.ndarray], docs: int, first_run: bool) -> Iterator[pa.RecordBatch]:
             """A run at the edge of the task that is over now; ``rows`` are those not yet handed out."""
+            head = first_of_run or tuple(r[0] for r in rows)
             if len(rows[0]):
                 if docs >= min_docs:
-                    begin = 1 if keep_first and first_of_run is None else 0
-                    if begin and is_first_run:
-                        yield out(_OPEN, take(rows, slice(0, 1)))
-                    yield out(_DROP, take(rows, slice(begin, None)))
+                    yield from decided(rows, head, first_run)
                 else:
                     yield out(_OPEN, rows)
-            head = first_of_run or tuple(r[0] for r in rows)
             yield out(_EDGE, [np.array([v], dtype=r.dtype) for v, r in zip(head, rows, strict=True)], docs)
 
         for batch in batches:
@@ -108,28 +115,23 @@ def _stream(min_docs: int, keep_first: bool):
                 started, at, seen, first_of_run = True, 1, 0, None
             elif len(starts) > 1 and seen:
                 if docs[0] >= min_docs:
-                    yield out(_DROP, take(rows, slice(0, ends[0])))
+                    yield from decided(take(rows, slice(0, ends[0])), first_of_run, False)
                 at, seen, first_of_run = 1, 0, None
             if len(starts) - 1 > at:  # runs inside the task
                 begin, stop = starts[at], starts[-1]
                 run_of = np.repeat(np.arange(at, len(starts) - 1), (ends - starts)[at:-1])
                 drop = docs[run_of] >= min_docs
                 if keep_first:
-                    drop &= ~new_run[begin:stop]
+                    lead = starts[run_of]
+                    drop &= ~np.logical_and.reduce([r[begin:stop] == r[lead] for r in rows])
                 if drop.any():
                     yield out(_DROP, take(rows, begin + np.flatnonzero(drop)))
             carry = take(rows, slice(starts[-1], None))
             carried = int(docs[-1])
             if carried >= min_docs:  # decided: hand the rows out, a common line is never gathered
-                begin = 0
                 if first_of_run is None:
                     first_of_run = tuple(r[0] for r in carry)
-                    if keep_first:
-                        begin = 1
-                        if not started:
-                            yield out(_OPEN, take(carry, slice(0, 1)))
-                if len(carry[0]) > begin:
-                    yield out(_DROP, take(carry, slice(begin, None)))
+                yield from decided(carry, first_of_run, not started)
                 seen, last = carried, (carry[2][-1], carry[3][-1])
                 carry = take(carry, slice(0, 0))
         if carry is not None:

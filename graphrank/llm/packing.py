@@ -152,7 +152,16 @@ def tokenized_pieces(documents: DataFrame, definition: str, capacity: int, end_i
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, how many of this kind) from the number of pieces per length."""
+    """Sequences as (lengths, how many of this kind) from the number of pieces per length.
+
+    Gaps are filled by up to three lengths; where few lengths are left, fewer may leave better rests, so the
+    shortest of the plans with three, two and one is taken.
+    """
+    plans = [_plan(histogram, capacity, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] += n
@@ -184,11 +193,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         gap = capacity - length
         if left[length] and gap <= length:
             use((length, gap))
-        for a, b in pairs(gap, length) if left[length] else ():
+        for a, b in pairs(gap, length) if left[length] and most > 1 else ():
             use((length, a, b))
             if not left[length]:
                 break
-        if left[length]:
+        if left[length] and most > 2:
             for a in np.flatnonzero(left[: min(gap - 1, length + 1)])[::-1]:
                 for b, c in pairs(gap - int(a), int(a)):
                     use((length, int(a), b, c))
