@@ -98,15 +98,15 @@ def negatives(name: str, stage: str, heads: str, tails: str, wanted: str, blocke
         JOIN (SELECT edge_type, count(*) AS c FROM {name}_h GROUP BY 1) s USING (edge_type)
         JOIN (SELECT edge_type, count(*) AS c FROM {name}_t GROUP BY 1) t USING (edge_type)
         LEFT JOIN (SELECT edge_type, count(*) AS c FROM {name}_b GROUP BY 1) b USING (edge_type) WHERE w.n > 0),
-    {name}_j AS MATERIALIZED (SELECT edge_type, s, t, md5(concat_ws('|', {s}, '{stage}', edge_type, CAST(j AS VARCHAR))) AS d
-        FROM (SELECT edge_type, s, t, unnest(range(CAST(n + n // 8 + 2 * CAST(n AS HUGEINT) * (n + f) // (s * t) + 64 AS BIGINT))) AS j FROM {name}_z WHERE s * t > 4 * (n + f))),
-    {name}_p AS MATERIALIZED (SELECT h.edge_type, h.id AS src, t.id AS dst, h.idx AS si, t.idx AS ti FROM {name}_h h JOIN {name}_t t USING (edge_type)
-        JOIN {name}_z z USING (edge_type) WHERE z.s * z.t <= 4 * (z.n + z.f)
-        UNION SELECT j.edge_type, h.id, t.id, h.idx, t.idx FROM {name}_j j
-        JOIN {name}_h h ON h.edge_type = j.edge_type AND h.idx = {hexnum('d', 1)} % j.s
-        JOIN {name}_t t ON t.edge_type = j.edge_type AND t.idx = {hexnum('d', 16)} % j.t),
+    {name}_d AS MATERIALIZED (SELECT *, CAST(s AS HUGEINT) * t AS pairs, md5(concat_ws('|', {s}, '{stage}', edge_type, 'walk')) AS d FROM {name}_z),
+    {name}_w AS MATERIALIZED (SELECT *, CAST({hexnum('d', 16)} AS HUGEINT) % pairs AS start,
+        (SELECT min(x) FROM (SELECT CAST({hexnum('d', 1)} AS HUGEINT) % pairs + unnest(range(10000)) AS x) WHERE gcd(x, pairs) = 1) AS step FROM {name}_d),
+    {name}_j AS MATERIALIZED (SELECT edge_type, t, n, j, (step * j + start) % pairs AS place
+        FROM (SELECT *, CAST(unnest(range(CAST(least(pairs, n + f) AS BIGINT))) AS HUGEINT) AS j FROM {name}_w)),
+    {name}_p AS MATERIALIZED (SELECT j.edge_type, j.j, h.id AS src, t.id AS dst FROM {name}_j j
+        JOIN {name}_h h ON h.edge_type = j.edge_type AND h.idx = j.place // j.t
+        JOIN {name}_t t ON t.edge_type = j.edge_type AND t.idx = j.place % j.t),
     {name} AS MATERIALIZED (SELECT q.edge_type, q.src, q.dst FROM (
-        SELECT p.*, row_number() OVER (PARTITION BY p.edge_type
-            ORDER BY md5(concat_ws('|', {s}, '{stage}', p.edge_type, CAST(p.si AS VARCHAR), CAST(p.ti AS VARCHAR)))) AS r
+        SELECT p.*, row_number() OVER (PARTITION BY p.edge_type ORDER BY p.j) AS r
         FROM {name}_p p ANTI JOIN {name}_b b USING (edge_type, src, dst)) q
         JOIN {name}_z z USING (edge_type) WHERE q.r <= z.n)"""

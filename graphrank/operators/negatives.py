@@ -1,28 +1,35 @@
-"""Negative links: allowed sources x targets minus forbidden pairs, first n in hash order.
+"""Negative links: allowed sources x targets minus forbidden pairs, the first n of one seeded walk.
 
-The pair space is never enumerated unless it is at most a small multiple of
-the rows that exist anyway. Otherwise pairs are drawn by hashed positions,
-deduplicated and checked against the forbidden pairs by an anti-join.
+All pairs of a relation are numbered, and a walk ``(a * j + b) mod pairs`` with ``a`` prime to their
+number visits each once. Forbidden pairs are skipped. At most as many positions are skipped as there are
+forbidden pairs, so ``n`` pairs are found within ``n + forbidden`` steps, whatever the size of the pair space, and
+a larger sample begins with the smaller one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.operators.ordering import dense_index, hash_number, nth_hashes, stable_hash
+from graphrank.operators.ordering import dense_index, stable_hash
 from graphrank.plans.lineage import materialize
 
 STRATEGIES = ("random", "degree_matched", "hard")
-_DENSE = 4  # enumerate when the pair space is at most this many times (wanted + forbidden)
 _CHUNK = 4096
+_LONG = 1 << 62
 
 
-def draws_for(wanted: int, forbidden: int, space: int) -> int:
-    """Positions drawn for ``wanted`` pairs: room for repeats and forbidden pairs, and some slack."""
-    return wanted + wanted // 8 + 2 * wanted * (wanted + forbidden) // space + 64
+def walk(edge_type: str, pairs: int, seed: int, stage: str) -> tuple[int, int]:
+    """Step and start of the walk over ``pairs`` numbers, from the md5 of seed, stage and relation."""
+    digest = hashlib.md5(f"{seed}|{stage}|{edge_type}|walk".encode()).hexdigest()
+    step, start = int(digest[:15], 16) % pairs, int(digest[15:30], 16) % pairs
+    while gcd(step, pairs) != 1:
+        step += 1
+    return step, start
 
 
 def _counts(df: DataFrame) -> dict[str, int]:
@@ -34,49 +41,28 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _positions(spark, edge_type: str, count: int) -> DataFrame:
-    return spark.range(count).select(F.lit(edge_type).alias("edge_type"), F.col("id").alias("_j"))
-
-
-def _proposals(spark, sizes: dict, wanted: dict, forbidden: dict, seed: int, stage: str, factor: int) -> DataFrame:
-    """Index pairs ``(edge_type, _s, _d)``: all of a small space, hashed draws of a large one."""
-    parts = []
-    for edge_type, n in wanted.items():
-        sources, targets = sizes[edge_type]
-        space = sources * targets
-        if space <= _DENSE * (n + forbidden.get(edge_type, 0)):
-            parts.append(
-                _positions(spark, edge_type, space).select(
-                    "edge_type",
-                    F.expr(f"_j div {targets}").alias("_s"),
-                    (F.col("_j") % targets).alias("_d"),
-                )
-            )
-        else:
-            digest = stable_hash(seed, stage, F.col("edge_type"), F.col("_j"))
-            parts.append(
-                _positions(spark, edge_type, draws_for(n, forbidden.get(edge_type, 0), space) * factor)
-                .withColumn("_h", digest)
-                .select(
-                    "edge_type",
-                    (hash_number(F.col("_h"), 1) % sources).alias("_s"),
-                    (hash_number(F.col("_h"), 16) % targets).alias("_d"),
-                )
-                .distinct()
-            )
-    return _union(parts)
+def _visited(spark, edge_type: str, size: tuple[int, int], steps: int, seed: int, stage: str) -> DataFrame:
+    """The first ``steps`` pairs of the walk as ``(edge_type, _j, _s, _d)``."""
+    pairs = size[0] * size[1]
+    step, start = walk(edge_type, pairs, seed, stage)
+    if step * steps + start < _LONG:
+        place = F.expr(f"({step}L * id + {start}L) % {pairs}L")
+    else:  # products beyond a long
+        place = F.expr(f"CAST((CAST({step} AS DECIMAL(19, 0)) * CAST(id AS DECIMAL(18, 0)) + {start}) % {pairs} AS BIGINT)")
+    return spark.range(steps).select(F.lit(edge_type).alias("edge_type"), F.col("id").alias("_j"), place.alias("_place")).select(
+        "edge_type", "_j", F.expr(f"_place div {size[1]}").alias("_s"), (F.col("_place") % size[1]).alias("_d"))
 
 
 def _ends(index: DataFrame, name: str, position: str) -> DataFrame:
     return index.select("edge_type", F.col("id").alias(name), F.col("idx").alias(position))
 
 
-def _first_by_hash(pairs: DataFrame, wanted: dict[str, int], columns: tuple[str, str] = ("src", "dst")) -> DataFrame:
-    cuts = pairs.sparkSession.createDataFrame(
-        [(e, "n", n) for e, n in wanted.items()], "edge_type string, cut string, n bigint"
-    )
-    limits = nth_hashes(pairs, ["edge_type"], "_digest", cuts).select("edge_type", F.col("digest").alias("_limit"))
-    return pairs.join(F.broadcast(limits), "edge_type").where("_digest <= _limit").select("edge_type", *columns)
+def _first(pairs: DataFrame, wanted: dict[str, int], order: str, columns: tuple[str, str] = ("src", "dst")) -> DataFrame:
+    """The first pairs per relation in ``order``, as many as wanted. No relation is ordered in one task."""
+    placed = dense_index(pairs, ["edge_type"], [F.col(order)], "_first")
+    limits = pairs.sparkSession.createDataFrame(list(wanted.items()), "edge_type string, _n bigint")
+    # one row per relation
+    return placed.join(F.broadcast(limits), "edge_type").where("_first < _n").select("edge_type", *columns)
 
 
 def sample_negatives(
@@ -96,11 +82,11 @@ def sample_negatives(
     ``sources`` and ``targets`` are ``(edge_type, id)``; ``forbidden`` is
     ``(edge_type, src, dst)``. No result row is forbidden or repeated.
 
-    * ``random``: first in hash order.
+    * ``random``: first of the walk.
     * ``degree_matched``: pairs of highest degree sum first (``degrees`` is
       ``(edge_type, side, id, degree)``, side ``src`` or ``dst``).
     * ``hard``: the given ``hard_pairs`` when there are enough of them; otherwise
-      they compete with all other pairs in hash order, or go first with ``prefer_hard``.
+      they compete with all other pairs of the walk, or go first with ``prefer_hard``.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {STRATEGIES}")
@@ -125,7 +111,7 @@ def sample_negatives(
         found = _counts(eligible)
         enough = {e: n for e, n in wanted.items() if found.get(e, 0) >= n}
         short = {e: n for e, n in wanted.items() if e not in enough}
-        parts = [_first_by_hash(eligible.where(F.col("edge_type").isin(list(enough))), enough)] if enough else []
+        parts = [_first(eligible.where(F.col("edge_type").isin(list(enough))), enough, "_digest")] if enough else []
         if short and prefer_hard:
             kept = eligible.where(F.col("edge_type").isin(list(short))).select("edge_type", "src", "dst")
             rest = {e: n - found.get(e, 0) for e, n in short.items()}
@@ -147,25 +133,14 @@ def sample_negatives(
     blocked_at = blocked.join(head_ends, ["edge_type", "src"]).join(tail_ends, ["edge_type", "dst"]).select(
         "edge_type", "_s", "_d"
     )
-    results, factor = [], 1
-    while open_:
-        eligible = materialize(
-            _proposals(spark, sizes, open_, taken, seed, stage, factor)
-            .join(blocked_at, ["edge_type", "_s", "_d"], "left_anti")
-            .withColumn("_digest", stable_hash(seed, stage, F.col("edge_type"), F.col("_s"), F.col("_d")))
-        )
-        found = _counts(eligible)
-        drawn = {e for e, n in open_.items() if sizes[e][0] * sizes[e][1] > _DENSE * (n + taken.get(e, 0))}
-        short = {e for e in drawn if found.get(e, 0) < open_[e]}  # drawn too few: draw more
-        done = {e: n for e, n in open_.items() if e not in short}
-        if done:
-            results.append(_first_by_hash(eligible.where(F.col("edge_type").isin(list(done))), done, ("_s", "_d")))
-        open_ = {e: open_[e] for e in short}
-        factor *= 2
-    if not results:
+    visited = [
+        _visited(spark, e, sizes[e], min(sizes[e][0] * sizes[e][1], n + taken.get(e, 0)), seed, stage) for e, n in open_.items()
+    ]
+    if not visited:
         return empty
-    chosen = _union(results).join(head_ends, ["edge_type", "_s"]).join(tail_ends, ["edge_type", "_d"])
-    return chosen.select("edge_type", "src", "dst")
+    eligible = _union(visited).join(blocked_at, ["edge_type", "_s", "_d"], "left_anti")
+    chosen = _first(eligible, open_, "_j", ("_s", "_d"))
+    return chosen.join(head_ends, ["edge_type", "_s"]).join(tail_ends, ["edge_type", "_d"]).select("edge_type", "src", "dst")
 
 
 def _highest_degree_sums(

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from graphrank.plans.lineage import materialize, shuffle_partitions
 
-_HEX_DIGITS = 3
-
 
 def stable_hash(*parts: Column | str | int) -> Column:
     """md5 of the parts joined by ``|``: the same order under any partitioning or retry."""
@@ -47,49 +45,6 @@ def top_per_key(
     return df.withColumn(rank, numbered).where(F.col(rank) <= n)
 
 
-def nth_hashes(df: DataFrame, keys: Sequence[str], digest: str, wanted: DataFrame) -> DataFrame:
-    """Digest of the n-th smallest row per key, for every ``(keys, cut, n)`` of ``wanted``.
-
-    ``n <= 0`` gives '' (below every digest), ``n`` beyond the group gives 'g'
-    (above every hex digest). Rows are counted by digest prefix; only the rows
-    of the one prefix a cut falls into are sorted.
-    """
-    prefix = hash_number(F.col(digest), 1, _HEX_DIGITS).cast("int")
-    running = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_prefix"))
-    counted = (
-        df.groupBy(*keys, prefix.alias("_prefix"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", running)
-    )
-    totals = counted.groupBy(*keys).agg(F.max("_upto").alias("_total"))
-    # one row per (key, cut), and as many prefixes: bounded by the cuts asked for
-    inside = (
-        wanted.join(counted, list(keys))
-        .where((F.col("n") > F.col("_upto") - F.col("_n")) & (F.col("n") <= F.col("_upto")))
-        .select(*keys, "cut", "_prefix", (F.col("n") - F.col("_upto") + F.col("_n")).alias("_k"))
-    )
-    place = F.row_number().over(Window.partitionBy(*keys, "cut").orderBy(digest))
-    exact = (
-        df.select(*keys, digest, prefix.alias("_prefix"))
-        .join(inside, [*keys, "_prefix"])
-        .withColumn("_place", place)
-        .where(F.col("_place") == F.col("_k"))
-        .select(*keys, "cut", F.col(digest).alias("_digest"))
-    )
-    return (
-        wanted.join(totals, list(keys), "left")
-        .join(exact, [*keys, "cut"], "left")
-        .select(
-            *keys,
-            "cut",
-            F.when(F.col("n") <= 0, F.lit(""))
-            .when(F.col("n") > F.coalesce("_total", F.lit(0)), F.lit("g"))
-            .otherwise(F.col("_digest"))
-            .alias("digest"),
-        )
-    )
-
-
 def dense_index(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "idx"
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphrank.operators.negatives import sample_negatives
-from graphrank.operators.ordering import nth_hashes, stable_hash
+from graphrank.operators.ordering import dense_index, stable_hash
 from graphrank.plans.lineage import materialize
 from graphrank.schemas import PREDICTED_RELATIONS
 
@@ -50,37 +50,28 @@ def partition_links(links: DataFrame, options: SplitOptions) -> DataFrame:
     """Add ``split`` and ``role`` to distinct positive links ``(edge_type, src, dst)``.
 
     Links are in hash order per relation: the first are test, then validation,
-    then training supervision, the rest messages. Only the three cut digests
-    per relation are looked up; no relation is sorted as a whole.
+    then training supervision, the rest messages. The order is over all tasks,
+    so one relation with most of the links is cut like any other.
     """
     spark = links.sparkSession
-    # read four times below: stored once, whatever it takes to make the links
-    hashed = materialize(
-        links.select("edge_type", "src", "dst").withColumn(
-            "_digest", stable_hash(options.seed, F.col("edge_type"), F.col("src"), F.col("dst"))
-        )
+    hashed = links.select("edge_type", "src", "dst").withColumn(
+        "_digest", stable_hash(options.seed, F.col("edge_type"), F.col("src"), F.col("dst"))
     )
-    totals = {r["edge_type"]: r["n"] for r in hashed.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    placed = dense_index(hashed, ["edge_type"], [F.col("_digest")], "_place")
+    totals = {r["edge_type"]: r["n"] for r in placed.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     cuts = []
     for edge_type, total in totals.items():
-        upto = 0
         sizes = split_sizes(total, options)
-        for part in ("test", "val", "train"):
-            upto += sizes[part]
-            cuts.append((edge_type, part, upto))
+        test = sizes["test"]
+        val = test + sizes["val"]
+        cuts.append((edge_type, test, val, val + sizes["train"]))
     if not cuts:
         return hashed.select("edge_type", "src", "dst", F.lit("").alias("split"), F.lit("").alias("role")).limit(0)
-    wanted = spark.createDataFrame(cuts, "edge_type string, cut string, n bigint")
-    limits = (
-        nth_hashes(hashed, ["edge_type"], "_digest", wanted)
-        .groupBy("edge_type")
-        .pivot("cut", ["test", "val", "train"])
-        .agg(F.first("digest"))
-    )
+    limits = spark.createDataFrame(cuts, "edge_type string, test bigint, val bigint, train bigint")
     # one row per relation
-    marked = hashed.join(F.broadcast(limits), "edge_type")
-    split = F.when(F.col("_digest") <= F.col("test"), "test").when(F.col("_digest") <= F.col("val"), "val").otherwise("train")
-    role = F.when(F.col("_digest") <= F.col("train"), "supervision").otherwise("message")
+    marked = placed.join(F.broadcast(limits), "edge_type")
+    split = F.when(F.col("_place") < F.col("test"), "test").when(F.col("_place") < F.col("val"), "val").otherwise("train")
+    role = F.when(F.col("_place") < F.col("train"), "supervision").otherwise("message")
     return marked.select("edge_type", "src", "dst", split.alias("split"), role.alias("role"))
 
 
