@@ -25,7 +25,8 @@ from graphrank.plans.lineage import materialize
 DEFAULT_SEEDS = (13, 17, 19, 23, 29)
 TRIPLE = ("head", "relation", "tail")
 _QUERY = ["head", "relation"]
-_EXACT_TERMS = 256
+_SHIFT = 32
+_CHUNK = 4096
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -33,8 +34,14 @@ Scorer = Callable[[DataFrame], DataFrame]
 # --------------------------------------------------------------------------- classification
 
 
+def comparable(score: Column) -> Column:
+    """A missing or NaN score is below every other score."""
+    value = score.cast("double")
+    return F.when(value.isNull() | F.isnan(value), float("-inf")).otherwise(value)
+
+
 def _score_histogram(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return labelled.groupBy(*keys, "score").agg(
+    return labelled.groupBy(*keys, comparable(F.col("score")).alias("score")).agg(
         F.sum(F.col("label").cast("bigint")).alias("pos"),
         F.sum((1 - F.col("label")).cast("bigint")).alias("neg"),
     )
@@ -66,8 +73,8 @@ def auroc(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _harmonic(n: Column) -> Column:
-    """Harmonic number for n of at least a few hundred, less Euler's constant (it cancels)."""
-    return F.log(n) + 1.0 / (2.0 * n) - 1.0 / (12.0 * n * n) + 1.0 / (120.0 * n * n * n * n)
+    """Harmonic number, less Euler's constant (it cancels): exact to double precision from n = 32 on."""
+    return F.log(n) + 1.0 / (2.0 * n) - 1.0 / (12.0 * n * n) + 1.0 / (120.0 * n * n * n * n) - 1.0 / (252.0 * F.pow(n, 6))
 
 
 def auprc(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -75,19 +82,16 @@ def auprc(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     A tie group with p positives after c rows (f of them negative) adds
     sum over i of (c - f + i) / (c + i) = p - f * (H(c+p) - H(c)). The harmonic
-    difference is summed for the first terms and taken from the asymptotic
-    series beyond them, so a huge tie group costs as much as a small one.
+    difference is that of the arguments moved up by a fixed number of terms, taken
+    from the asymptotic series, and those terms: one formula for tie groups of any size.
     """
     hist = materialize(_score_histogram(labelled, keys).withColumn("_down", -F.col("score")))
     summed = with_running_sums(hist, keys, "_down", ["pos", "neg"]).where("pos > 0")
     p, f = F.col("pos"), F.col("before_neg").cast("double")
     c = (F.col("before_pos") + F.col("before_neg")).cast("double")
-    few = F.least(p, F.lit(_EXACT_TERMS).cast("bigint"))
-    head = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), few), F.lit(0.0), lambda acc, i: acc + 1.0 / (c + i)
-    )
-    tail = F.when(p > _EXACT_TERMS, _harmonic(c + p) - _harmonic(c + few)).otherwise(0.0)
-    gain = F.when(f == 0.0, p.cast("double")).otherwise(p - f * (head + tail))
+    moved = sum((1.0 / (c + i) - 1.0 / (c + p + i) for i in range(1, _SHIFT + 1)), F.lit(0.0))
+    difference = _harmonic(c + p + _SHIFT) - _harmonic(c + _SHIFT) + moved
+    gain = F.when(f == 0.0, p.cast("double")).otherwise(p - f * difference)
     scored = summed.groupBy(*keys).agg((F.sum(gain) / F.sum("pos")).alias("auprc"))
     if not keys:
         return scored.select(F.coalesce("auprc", F.lit(float("nan"))).alias("auprc"))
@@ -125,6 +129,7 @@ def filtered_ranks(
     A positive without a score is an error.
     """
     triple = [*keys, *TRIPLE]
+    scores = scores.withColumn("score", comparable(F.col("score")))
     missing = positives.join(scores, triple, "left_anti").limit(1).collect()
     if missing:
         raise KeyError(f"no score for positive {tuple(missing[0])}")
@@ -209,10 +214,13 @@ def sample_tails(
     # expected length of the walk, with some slack; the whole cycle is the upper end
     expected = F.ceil(1.25 * F.col("_want") * F.col("_prime") / F.greatest(F.col("_open"), F.lit(1))) + 16
     numbers = ["_w", "_q", "_true", "_size", "_prime", "_a", "_b", "_want"]
-    pending = walkers.where("_want > 0").select(*numbers, F.least(expected, F.col("_prime")).alias("_len"))
+    pending = walkers.where("_want > 0").select(*numbers, F.lit(0).cast("bigint").alias("_from"), F.least(expected, F.col("_prime")).alias("_to"))
     parts = []
     while True:
-        steps = pending.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_len") - 1)))
+        # a walk is listed in chunks, however many steps it has
+        chunk = F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(_CHUNK).cast("bigint"))).alias("_chunk")
+        steps = pending.select("*", chunk).withColumn(
+            "_j", F.explode(F.sequence("_chunk", F.least(F.col("_chunk") + _CHUNK, F.col("_to")) - 1)))
         at = ((F.col("_a") * F.col("_j") + F.col("_b")) % F.col("_prime")).alias("_pos")
         visited = steps.select("_w", "_q", "_want", "_j", at, "_size", "_true").where(
             (F.col("_pos") < F.col("_size")) & (F.col("_true").isNull() | (F.col("_pos") != F.col("_true")))
@@ -220,18 +228,16 @@ def sample_tails(
         eligible = visited.select("_w", "_q", "_want", "_j", "_pos").join(blocked, ["_q", "_pos"], "left_anti")
         # a walker owns at most its walk length of rows
         place = F.row_number().over(Window.partitionBy("_w").orderBy("_j"))
-        got = materialize(
-            eligible.withColumn("_rank", place).where("_rank <= _want").select("_w", "_pos", "_rank")
-        )
-        full = got.groupBy("_w").agg(F.max("_rank").cast("bigint").alias("_got"))
+        got = materialize(eligible.withColumn("_rank", place).where("_rank <= _want").select("_w", "_pos"))
+        parts.append(got)
+        full = got.groupBy("_w").agg(F.count(F.lit(1)).alias("_got"))
+        # who still lacks tails walks on from where it stopped
         short = materialize(
-            pending.join(full, "_w", "left").where(F.coalesce("_got", F.lit(0)) < F.col("_want")).drop("_got")
+            pending.join(full, "_w", "left").withColumn("_want", F.col("_want") - F.coalesce("_got", F.lit(0))).where("_want > 0").drop("_got")
         )
         if short.isEmpty():
-            parts.append(got)
             break
-        parts.append(got.join(short, "_w", "left_anti"))
-        pending = short.withColumn("_len", F.least(F.col("_len") * 2, F.col("_prime")))
+        pending = short.withColumn("_from", F.col("_to")).withColumn("_to", F.least(F.col("_to") * 2, F.col("_prime")))
     drawn = parts[0]
     for part in parts[1:]:
         drawn = drawn.unionByName(part)
@@ -254,12 +260,17 @@ def candidate_triples(positives: DataFrame, sampled: DataFrame, seeds: Sequence[
 def evaluate_scores(
     scored: DataFrame, known: DataFrame, keys: Sequence[str] = ("seed",), ks: Sequence[int] = (1, 3, 10)
 ) -> DataFrame:
-    """One row per key: AUROC, AUPRC, raw and filtered Hits@k and MRR, counts.
+    """One row per key: AUROC, AUPRC, raw and filtered Hits@k and MRR, counts; NaN where a key has no positive.
+
+    Without ``keys`` all rows are one evaluation. A missing or NaN score is below every other.
 
     ``scored`` is ``(keys, head, relation, tail, label, score)`` as made by
     :func:`candidate_triples` and a scorer.
     """
+    if not keys:
+        return evaluate_scores(scored.withColumn("_all", F.lit(0)), known, ["_all"], ks).drop("_all")
     keys = list(keys)
+    scored = scored.withColumn("score", comparable(F.col("score")))
     counts = scored.groupBy(*keys).agg(
         F.sum("label").alias("num_positives"), F.sum(1 - F.col("label")).alias("num_negatives")
     )
@@ -292,7 +303,9 @@ def evaluate_scores(
             *[(f"hits_at_{k}", (F.col(name) <= k).cast("double")) for k in ks], ("mrr", 1.0 / F.col(name))
         ]
     ]
-    return out.join(weighted.groupBy(*keys).agg(*metrics), keys)
+    ranked = out.join(weighted.groupBy(*keys).agg(*metrics), keys, "left")
+    names = [c for c in ranked.columns if c not in out.columns]
+    return ranked.select(*out.columns, *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in names])
 
 
 def evaluate_model(
@@ -330,9 +343,10 @@ def evaluate_split(
 
 
 def require_seeds(metrics: DataFrame, by: str = "model", minimum: int = 5) -> None:
-    few = metrics.groupBy(by).agg(F.count_distinct("seed").alias("n")).where(F.col("n") < minimum).limit(20).collect()
-    if few:
-        raise ValueError(f"at least {minimum} seeds needed, too few for {[r[0] for r in few]}")
+    few = metrics.groupBy(by).agg(F.count_distinct("seed").alias("n")).where(F.col("n") < minimum)
+    names = [r[0] for r in few.limit(20).collect()]
+    if names:
+        raise ValueError(f"at least {minimum} seeds needed, too few for {few.count()}, among them {names}")
 
 
 def long_metrics(wide: DataFrame, keys: Sequence[str]) -> DataFrame:

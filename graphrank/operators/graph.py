@@ -157,10 +157,11 @@ def validate_edges(edges: DataFrame, require_all: bool = True) -> DataFrame:
 
 
 def assert_edges(edges: DataFrame) -> None:
-    """Raise with all errors. There are at most a few rows per edge table."""
-    errors = [f"{r.edge_table}: {r.error}" for r in validate_edges(edges).limit(100).collect()]
+    """Raise with the number of distinct errors and the first hundred; :func:`validate_edges` has all of them."""
+    found = validate_edges(edges)
+    errors = [f"{r.edge_table}: {r.error}" for r in found.orderBy("edge_table", "error").limit(100).collect()]
     if errors:
-        raise ValueError("; ".join(sorted(errors)))
+        raise ValueError(f"{found.count()} errors: " + "; ".join(errors))
 
 
 def check_node_range(nodes: DataFrame, min_nodes: int, max_nodes: int) -> DataFrame:

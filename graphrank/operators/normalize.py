@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphrank.functions.columns import (
@@ -16,6 +16,7 @@ from graphrank.functions.columns import (
     optional_column,
 )
 from graphrank.operators.ordering import first_per_key, top_per_key
+from graphrank.plans.lineage import materialize
 
 # --- fixed values: column names under which sources carry each field, in the order tried
 PROTEIN_COLUMNS = ("string_protein_id", "protein_external_id", "protein", "protein1", "string_id")
@@ -100,8 +101,9 @@ def map_targets(targets: DataFrame, accessions: DataFrame, id_column: str | None
 
 
 def combine(*maps: DataFrame) -> DataFrame:
+    """All mappings as one crosswalk; an empty one without mappings."""
     if not maps:
-        raise ValueError("combine needs at least one mapping")
+        return SparkSession.active().createDataFrame([], ", ".join(f"{c} string" for c in _CROSSWALK))
     union = reduce(lambda a, b: a.unionByName(b), [m.select(*_CROSSWALK) for m in maps])
     return union.dropna(subset=["source_id", "ensembl_gene_id"]).distinct()
 
@@ -219,8 +221,9 @@ def expand_one_hop(seeds: DataFrame, links: DataFrame, max_total_genes: int | No
     by their best link, because a link at a seed brings at most one new gene.
     So the cap is one aggregation and one top-n.
     """
-    seed = seeds.select(F.col("gene_id").alias("_seed")).where("_seed is not null").distinct()
-    marked = (
+    # each is read several times below
+    seed = materialize(seeds.select(F.col("gene_id").alias("_seed")).where("_seed is not null").distinct())
+    marked = materialize(
         links.join(seed.select("_seed", F.lit(True).alias("_a")), F.col("gene_a") == F.col("_seed"), "left")
         .drop("_seed")
         .join(seed.select("_seed", F.lit(True).alias("_b")), F.col("gene_b") == F.col("_seed"), "left")

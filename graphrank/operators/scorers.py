@@ -88,7 +88,7 @@ def dot_scores(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def diagonal_scores(candidates: DataFrame, vectors: DataFrame, relations: DataFrame) -> DataFrame:
     """Dot product weighted by the relation's diagonal ``(relation, weight array)``."""
-    both = with_end_vectors(candidates, vectors).join(relations, "relation", "left")
+    both = with_end_vectors(candidates, vectors).join(F.broadcast(relations), "relation", "left")  # relations are a few names of the schema
     product = F.zip_with(F.col("_h"), F.col("weight"), lambda x, w: x * w)
     return both.select(*candidates.columns, F.coalesce(dot(product, F.col("_t")), F.lit(0.0)).alias("score"))
 
@@ -131,7 +131,7 @@ def kge_scores(candidates: DataFrame, entities: DataFrame, relations: DataFrame,
     """
     if model not in KGE_MODELS:
         raise ValueError(f"unknown model {model}; one of {KGE_MODELS}")
-    both = with_end_vectors(candidates, entities).join(relations, "relation", "left")
+    both = with_end_vectors(candidates, entities).join(F.broadcast(relations), "relation", "left")
     h, r, t = F.col("_h"), F.col("weight"), F.col("_t")
     if model in ("TransE", "RotatE"):
         gap = F.zip_with(F.zip_with(h, r, lambda x, y: x + y), t, lambda x, y: x - y)
@@ -202,7 +202,7 @@ def fit_kge(
         wide = (
             rows.join(side("E", "head", "h"), "head")
             .join(side("E", "tail", "t"), "tail")
-            .join(side("R", "relation", "r"), "relation")
+            .join(F.broadcast(side("R", "relation", "r")), "relation")
         )
         score = sum((F.col("h" + c) * F.col("r" + c) * F.col("t" + c) for c in names), F.lit(0.0))
         failing = wide.withColumn("_e", sigmoid(score) - F.col("label"))

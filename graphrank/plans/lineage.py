@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is taken only when nothing is configured and the
-    session runs on a local master, as in tests.
+    Where nothing is configured and the session runs on a local master, tables go to a
+    folder inside the session's warehouse. There is no temporary folder of a machine.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -21,11 +20,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         context.setCheckpointDir(configured)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphrank-checkpoint-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_work")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def _store(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, store it in the shared folder and return a plan that reads the stored rows.
 
@@ -34,11 +41,30 @@ def materialize(df: DataFrame) -> DataFrame:
     of executors, later plans read only the columns they need, and its known
     size lets small sides be broadcast.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _store(df)[0]
+
+
+class Rounds:
+    """Stored tables of a loop: a new round replaces the one it was computed from.
+
+    Only the latest round is kept on disk, so a loop needs the space of two. Whoever
+    holds the table of an earlier round must not read it any more.
+    """
+
+    def __init__(self) -> None:
+        self._path: str | None = None
+
+    def store(self, df: DataFrame) -> DataFrame:
+        stored, path = _store(df)
+        if self._path is not None:
+            _remove(df.sparkSession, self._path)
+        self._path = path
+        return stored
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
