@@ -25,23 +25,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
-def _store(df: DataFrame) -> tuple[DataFrame, str]:
+def _store(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Compute ``df`` once, store it in the shared folder and return a plan that reads the stored rows.
 
+    ``options`` are those of the Parquet writer.
+
     Used where two later plans must see exactly the same rows (positions,
     samples) and to cut the lineage of loops. A written table survives the loss
     of executors, later plans read only the columns they need, and its known
     size lets small sides be broadcast.
     """
-    return _store(df)[0]
+    return _store(df, **options)[0]
 
 
 class Rounds:
