@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import materialize
+from graphrank.plans.lineage import Rounds
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,7 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     it has links and no list of neighbours is ever built. Rounds grow with the logarithm of the
     longest chain. Lineage is cut by a stored table per round.
     """
-    stars = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    rounds = Rounds()
+    stars = rounds.store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     before = None
     while True:
         both = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +27,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             smallest.select("u", F.col("m").alias("v")))
-        stars = materialize(small.where("u != v").distinct())
+        stars = rounds.store(small.where("u != v").distinct())
         sums = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sums) == before:
             break

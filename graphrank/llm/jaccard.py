@@ -45,6 +45,8 @@ _CHARS, _COUNTED = 1 << 22, 1 << 22
 FRAGMENTS = 8
 #: Groups of more members are compared block by block, of about so many documents.
 SMALL, BLOCK = 64, 512
+#: Hashes do not repeat: no dictionary is tried when they are stored.
+PLAIN = {"parquet.enable.dictionary": "false"}
 #: Bits of the bitmaps of documents: 8 MB.
 BITMAP_BITS = 1 << 26
 #: The part of the hash range whose n-grams are counted is 1 / 4: two leading bits are 0.
@@ -112,6 +114,8 @@ def ngram_hashes(texts: pa.Array, size: int) -> list[np.ndarray]:
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Batches cut so that the texts of a part have about ``_CHARS`` bytes."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         texts = batch.column(column)
         group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // _CHARS
         starts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -159,7 +163,7 @@ def survey(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
             keep = times > 1 if many else times == 1
             p, t, k = prints[keep], times[keep].astype("<u4"), bucket[keep]
             starts = np.flatnonzero(np.diff(k, prepend=-1)).tolist()
-            for a, b in zip(starts, [*starts[1:], len(k)], strict=True):
+            for a, b in zip(starts, [*starts[1:], len(k)], strict=False):
                 rows.append((int(k[a]), (p[a:b] & low).astype("<u4").tobytes(), t[a:b].tobytes() if many else None))
         none = pa.nulls(len(rows), kind)
         return pa.RecordBatch.from_arrays(
@@ -242,7 +246,7 @@ def _chosen(bitmap: np.ndarray, part: pa.RecordBatch) -> pa.Array:
 
 
 def prefixes_of(documents: DataFrame, classes: DataFrame, rule: Rule, frequent: np.ndarray, bits: int) -> DataFrame:
-    """node, n, prefix of one member of each class; prefixes are sorted by the global order."""
+    """node, n, rare, prefix of one member of each class; prefixes are sorted by the global order, ``rare`` n-grams first."""
     context = documents.sparkSession.sparkContext
     wanted, known = context.broadcast(bitmap_of(classes)), context.broadcast(frequent)
 
@@ -252,14 +256,14 @@ def prefixes_of(documents: DataFrame, classes: DataFrame, rule: Rule, frequent:
             rows = []
             for hashes in ngram_hashes(texts.filter(chosen), rule.size):
                 keys = _ordered(hashes, known.value, bits)[: rule.prefix(len(hashes))] if len(hashes) else hashes.astype(np.int64)
-                rows.append((_node(hashes) if len(hashes) else None, len(hashes), keys))
+                rows.append((_node(hashes) if len(hashes) else None, len(hashes), int(np.searchsorted(keys, 0)), keys))
             yield pa.RecordBatch.from_arrays(
-                [part.column(1).filter(chosen), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()))))],
-                names=["doc_id", "node", "n", "prefix"])
+                [part.column(1).filter(chosen), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))))],
+                names=["doc_id", "node", "n", "rare", "prefix"])
 
-    found = documents.mapInArrow(cut, "doc_id long, node long, n int, prefix array<long>")
+    found = documents.mapInArrow(cut, "doc_id long, node long, n int, rare int, prefix array<long>")
     one = classes.select("node", F.col("doc_id").alias("_one"))
-    return found.join(one, "node").where(F.col("doc_id").eqNullSafe(F.col("_one"))).select("node", "n", "prefix").dropDuplicates(["node"])
+    return found.join(one, "node").where(F.col("doc_id").eqNullSafe(F.col("_one"))).select("node", "n", "rare", "prefix").dropDuplicates(["node"])
 
 
 # ---- runs of equal prefix n-grams ----
@@ -344,8 +348,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_entries(prefixes: DataFrame) -> DataFrame:
     """node, n, place and pivot, pivot_n, pivot_place for every prefix n-gram of two sets or more."""
-    rare = F.size(F.filter("prefix", lambda x: x < 0))
-    entries = prefixes.select("node", "n", rare.alias("rare"), F.posexplode("prefix").alias("place", "ngram")).select(*_ENTRY)
+    entries = prefixes.select("node", "n", "rare", F.posexplode("prefix").alias("place", "ngram")).select(*_ENTRY)
     ranged = entries.repartitionByRange(shuffle_partitions(prefixes.sparkSession), "ngram", "rare", "node")
     found = materialize(ranged.sortWithinPartitions("ngram", "rare", "node").mapInArrow(_runs, _RUNS))
     # two rows a task at most
@@ -380,29 +383,29 @@ def _by_prefix(pairs: DataFrame, prefixes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _segments(documents: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """(node, fragment, ngrams) of the sets of ``members`` (node, doc_id): the global order cut by hash."""
+    """(node, segments): the sets of ``members`` (node, doc_id), their global order cut by hash into ``FRAGMENTS`` arrays."""
     shared = documents.sparkSession.sparkContext.broadcast(bitmap_of(members))
     edges = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 63) // FRAGMENTS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, 0):
-            names, values = [], []
-            for hashes in ngram_hashes(texts.filter(_chosen(shared.value, part)), rule.size):
-                if len(hashes):
-                    names.append(_node(hashes))
-                    values += np.split(hashes.astype(np.int64), np.searchsorted(hashes, edges))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(names, dtype=np.int64), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(names))),
-                 pa.array(values, pa.list_(pa.int64()))], names=["node", "fragment", "ngrams"])
-
-    cut_rows = documents.mapInArrow(cut, "node long, fragment int, ngrams array<long>")
+            sets = [h for h in ngram_hashes(texts.filter(_chosen(shared.value, part)), rule.size) if len(h)]
+            bounds = [np.concatenate([[0], np.searchsorted(h, edges), [len(h)]]) for h in sets]
+            lengths = np.concatenate([np.diff(b) for b in bounds]) if sets else np.empty(0, dtype=np.int64)
+            values = np.concatenate(sets).astype(np.int64) if sets else np.empty(0, dtype=np.int64)
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(lengths) + 1, FRAGMENTS, dtype=np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), outer], names=["node", "segments"])
+
+    cut_rows = documents.mapInArrow(cut, "node long, segments array<array<long>>")
     return cut_rows.join(members.select("node"), "node")
 
 
 def verified(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b, na, nb) that are links, by overlaps per fragment, summed."""
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("ngrams").alias("sa"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("ngrams").alias("sb"))
+    by_fragment = segments.select("node", F.posexplode("segments").alias("fragment", "ngrams"))
+    left = by_fragment.select(F.col("node").alias("a"), "fragment", F.col("ngrams").alias("sa"))
+    right = by_fragment.select(F.col("node").alias("b"), "fragment", F.col("ngrams").alias("sb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
         "a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("overlap"))
     # repeated rows of a document give equal segments
@@ -440,17 +443,15 @@ def _block_links(rule: Rule):
         """Links between two blocks of a group, as many as join its components: a forest, never all pairs."""
         sides = []
         for side in (0, 1):
-            part = rows[rows["side"] == side]
-            head = part.drop_duplicates("node").sort_values("node")
-            sides.append((head["node"].to_numpy(), head["n"].to_numpy(dtype=np.int64), head["comp"].to_numpy(), part.drop_duplicates(["node", "fragment"])))
-        (node_a, n_a, comp_a, part_a), (node_b, n_b, comp_b, part_b) = sides
+            head = rows[rows["side"] == side].drop_duplicates("node")
+            sides.append((head["node"].to_numpy(), head["n"].to_numpy(dtype=np.int64), head["comp"].to_numpy(), list(head["segments"])))
+        (node_a, n_a, comp_a, cut_a), (node_b, n_b, comp_b, cut_b) = sides
         overlap = np.zeros((len(node_a), len(node_b)), dtype=np.float32)
-        for fragment in np.intersect1d(part_a["fragment"].unique(), part_b["fragment"].unique()):
+        for fragment in range(FRAGMENTS):
             cells = []
-            for part, nodes in ((part_a, node_a), (part_b, node_b)):
-                some = part[part["fragment"] == fragment]
-                values = list(some["ngrams"])
-                row = np.repeat(np.searchsorted(nodes, some["node"].to_numpy()), [len(v) for v in values])
+            for cuts in (cut_a, cut_b):
+                values = [c[fragment] for c in cuts]
+                row = np.repeat(np.arange(len(values)), [len(v) for v in values])
                 cells.append((row, np.concatenate(values) if values else np.empty(0, dtype=np.int64)))
             common = np.intersect1d(cells[0][1], cells[1][1])
             for at in range(0, len(common), 4096):
@@ -506,13 +507,13 @@ def classes_and_links(documents: DataFrame, rule: Rule) -> tuple[DataFrame, Data
     classes = materialize(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     frequent = frequent_prints(surveyed.where("bucket IS NOT NULL").select("bucket", "prints", "times"), rule)
     marked = whole.withColumn("_bit", _bit(F.col("doc_id")))
-    prefixes = materialize(prefixes_of(marked, classes, rule, frequent, bits))
+    prefixes = materialize(prefixes_of(marked, classes, rule, frequent, bits), **PLAIN)
     bounded = _bounded(rule, F.col("place"), F.col("n"), F.col("pivot_place"), F.col("pivot_n"))
     members = materialize(shared_entries(prefixes).groupBy("pivot", "node", "n").agg(
         F.max(bounded).alias("bounded"), F.max(F.col("n") - F.col("place")).alias("reach")))
 
     def segments_of(nodes: DataFrame) -> DataFrame:
-        return materialize(_segments(marked, materialize(classes.join(nodes.distinct(), "node", "left_semi")), rule))
+        return materialize(_segments(marked, materialize(classes.join(nodes.distinct(), "node", "left_semi")), rule), **PLAIN)
 
     to_pivot = members.where((F.col("node") != F.col("pivot")) & F.col("bounded")).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     pairs = materialize(_by_prefix(to_pivot, prefixes, rule))

@@ -213,6 +213,8 @@ def pattern_counts(texts: pa.Array, lexicon: Lexicon, machine: tuple) -> np.ndar
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)) // _TOGETHER
         starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
         for a, b in zip(starts, [*starts[1:], len(group)], strict=True):
