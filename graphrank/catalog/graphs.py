@@ -195,7 +195,7 @@ def streamed_upsert(s: Sources) -> DataFrame:
     ).trigger(availableNow=True).start()
     running.awaitTermination()
     last = running.lastProgress["batchId"]
-    return s.spark.read.parquet(f"{folder}/version={last}")
+    return U.read_upserted(s.spark, folder, last)
 
 
 # --------------------------------------------------------------------------- features

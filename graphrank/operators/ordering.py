@@ -86,7 +86,7 @@ def with_running_sums(
     """
     parts = max(2, shuffle_partitions(df.sparkSession))
     quantiles = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)
-    splits = [float("-inf"), *sorted(set(quantiles)), float("inf")]
+    splits = [float("-inf"), *sorted({q for q in quantiles if abs(q) < float("inf")}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol=order, outputCol="_piece").transform(df)
     piece = [*keys, "_piece"]
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -59,32 +59,55 @@ def merge_edges(stored: DataFrame, incoming: DataFrame, nodes: DataFrame) -> Dat
 
 def check_names(rows: DataFrame, column: str) -> None:
     """Raise when a label or relation name has characters that names may not have."""
-    bad = [r[0] for r in unsafe_names(rows, column).limit(20).collect()]
+    found = unsafe_names(rows, column)
+    bad = [r[0] for r in found.limit(20).collect()]
     if bad:
-        raise ValueError(f"unsafe names in {column}: {bad}")
+        raise ValueError(f"{found.count()} unsafe names in {column}, among them {bad}")
 
 
 def assert_unique_keys(nodes: DataFrame) -> None:
-    repeated = unique_key_violations(nodes).limit(20).collect()
+    found = unique_key_violations(nodes)
+    repeated = found.limit(20).collect()
     if repeated:
-        raise ValueError(f"node keys repeat: {[tuple(r) for r in repeated]}")
+        raise ValueError(f"{found.count()} node keys repeat, among them {[tuple(r) for r in repeated]}")
+
+
+def _dated(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Per key and property ``_at_<property>``: struct of the order and of its last value that is not null."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*[
+        F.max(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(c).alias("v")))).alias(f"_at_{c}")
+        for c in rest
+    ])
+
+
+def read_upserted(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """A version of the upserted table with its properties as columns."""
+    stored = spark.read.parquet(f"{folder}/version={version}")
+    return stored.select(*[F.col(f"{c}.v").alias(c.removeprefix("_at_")) if c.startswith("_at_") else F.col(c) for c in stored.columns])
 
 
 def stream_upsert(
-    stream: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], checkpoint: str
+    stream: DataFrame, folder: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, start: DataFrame | None = None
 ) -> DataStreamWriter:
     """Stream writer that merges each micro-batch into a table kept as versions below ``folder``.
 
-    Version ``n+1`` holds version ``n`` merged with batch ``n``. A batch that is
-    retried rewrites the same version from the same input, so the upsert stays
-    idempotent after a failure.
+    Version ``n+1`` holds version ``n`` merged with batch ``n``; ``start`` is a table in the columns of the stream that
+    is there before the first batch. Each property is stored with the order values it came with, so a row that comes
+    late never replaces a later one. A batch that is retried rewrites the same version from the same input, so
+    the upsert stays idempotent after a failure. Read it with :func:`read_upserted`.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        fresh = last_per_key(batch, keys, order)
+        fresh = _dated(batch, keys, order)
+        stored = None
         if batch_id > 0:
             stored = batch.sparkSession.read.parquet(f"{folder}/version={batch_id - 1}")
-            fresh = merge(stored, fresh, keys)
+        elif start is not None:
+            stored = _dated(start, keys, order)
+        if stored is not None:
+            dated = [c for c in fresh.columns if c not in keys]
+            fresh = stored.unionByName(fresh).groupBy(*keys).agg(*[F.max(c).alias(c) for c in dated])
         fresh.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

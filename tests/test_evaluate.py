@@ -136,3 +136,14 @@ def test_erfc_is_accurate(frame):
     xs = [0.0, 0.1, 0.5, 1.0, 2.0, 2.9999, 3.0, 4.0, 6.0, 10.0, 20.0]
     got = frame([(x,) for x in xs], "x double").select("x", E.erfc(F.col("x")).alias("y")).collect()
     assert all(r.y == pytest.approx(math.erfc(r.x), rel=1e-9) for r in got)
+
+
+def test_keys_without_positives_and_odd_scores(frame):
+    schema = "seed int, head string, relation string, tail string, label int, score double"
+    rows = [(1, "a", "r", "x", 1, 0.5), (1, "a", "r", "y", 0, float("nan")), (1, "a", "r", "z", 0, None), (2, "a", "r", "y", 0, 0.1)]
+    known = frame([("a", "r", "x")], "head string, relation string, tail string")
+    got = {r["seed"]: r for r in E.evaluate_scores(frame(rows, schema), known).collect()}
+    assert got[1]["auroc"] == 1.0 and got[1]["filtered_mrr"] == 1.0
+    assert got[2]["num_positives"] == 0 and got[2]["filtered_mrr"] != got[2]["filtered_mrr"]
+    one, = E.evaluate_scores(frame(rows[:3], schema), known, ()).collect()
+    assert one["raw_mrr"] == 1.0 and one["num_negatives"] == 2

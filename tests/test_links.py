@@ -101,3 +101,14 @@ def test_message_graph_keeps_other_relations(frame, links):
     kept = S.message_graph(edges, parts)
     assert kept.where("edge_type = 'interacts'").count() == 1
     assert kept.count() == 1 + parts.where("role = 'message'").count()
+
+
+def test_larger_samples_begin_with_smaller_ones(frame):
+    ends = [("r", f"n{i}") for i in range(12)]
+    heads = frame(ends, "edge_type string, id string")
+    blocked = frame([("r", f"n{i}", f"n{i}") for i in range(12)], "edge_type string, src string, dst string")
+    before = set()
+    for n in (1, 20, 35, 36, 37, 131, 132, 500):
+        got = {tuple(r) for r in N.sample_negatives(heads, heads, blocked, {"r": n}, 13).collect()}
+        assert len(got) == min(n, 132) and before <= got and all(s != d for _, s, d in got)
+        before = got

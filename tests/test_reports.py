@@ -101,10 +101,17 @@ def test_upsert_keeps_old_values_and_is_idempotent(frame):
 def test_stream_merges_batches(spark, tmp_path):
     source, folder = tmp_path / "in", str(tmp_path / "out")
     schema = "k string, t int, v string"
-    for i, rows in enumerate([[("a", 1, "x"), ("b", 1, "y"), ("a", 2, None)], [("a", 3, "z"), ("c", 1, "w")]]):
+    start = spark.createDataFrame([("b", 9, "kept"), ("d", 0, "old")], schema)
+    for rows in [[("a", 1, "x"), ("b", 1, "y"), ("a", 5, None)], [("a", 3, "z"), ("c", 1, "w")], [("a", 2, "late")]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))
-        running = U.stream_upsert(stream, folder, ["k"], ["t"], str(tmp_path / "cp")).trigger(availableNow=True).start()
+        running = U.stream_upsert(stream, folder, ["k"], ["t"], str(tmp_path / "cp"), start).trigger(availableNow=True).start()
         running.awaitTermination()
-    last = spark.read.parquet(f"{folder}/version=1")
-    assert {(r.k, r.v) for r in last.collect()} == {("a", "z"), ("b", "y"), ("c", "w")}
+    last = U.read_upserted(spark, folder, 2)
+    assert {(r.k, r.v) for r in last.collect()} == {("a", "z"), ("b", "kept"), ("c", "w"), ("d", "old")}
+
+
+def test_reports_stay_beside_each_other(spark, tmp_path):
+    for name in ("one", "two"):
+        T.write_report(spark.createDataFrame([(name, "x", 1.0)], "report string, arm string, value double"), str(tmp_path / "r"))
+    assert {r.report for r in T.read_report(spark, str(tmp_path / "r")).collect()} == {"one", "two"}
