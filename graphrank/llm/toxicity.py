@@ -3,11 +3,11 @@
 A word becomes a symbol: insult, threat, target, negation, reported speech, other. Symbols run through three
 transducers, composed into one table: negation marks insults and threats in the three words behind it, reported
 speech those up to the end of its clause, target those in a clause that addresses someone. What comes out of a clause
-is a list of patterns (insult, negated insult, reported threat at a target, ...). Each pattern has a
-weight; a document's score is the logistic function of the weighted, damped counts of its patterns.
+is a list of patterns (insult, negated insult, reported threat at a target, ...). An insult carries the weight of
+its word, a pattern has a weight of its own; a document's score is the logistic function of what adds up.
 
-Insults are learned: stems whose share among toxic texts is far above that among clean ones, as long as they lose
-no toxic text by getting longer. Pattern weights are fitted to the same texts. Clauses without an insult or threat
+Insults are learned: stems whose share among toxic texts is above that among clean ones, weighted with the logarithm
+of the ratio. A longer stem stands beside a shorter one if it tells more, and the longest that fits counts. Pattern weights are fitted to the same texts. Clauses without an insult or threat
 match nothing, whatever other words they hold.
 
 Cases: null and empty texts match nothing and have the lowest score; a label that is null, or of no document,
@@ -20,7 +20,8 @@ from __future__ import annotations
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,10 @@ from graphrank.llm.common import materialize, ship
 #: Labelled texts that the lexicon and the weights are fitted to, about, drawn by a hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 8192, 16384
 #: A stem has so many letters and toxic texts at least, and at least this log ratio of shares and this test statistic.
-STEM, TEXTS, LOG_RATIO, STATISTIC = 4, 8, 2.5, 40.0
+STEM, TEXTS, LOG_RATIO, STATISTIC = 4, 8, 1.2, 30.0
+#: What a longer stem must tell more, in so many toxic texts at least, and the most that one word counts.
+MORE, FAMILY_TEXTS, MOST = 0.5, 3, 6.0
+THREAT_WEIGHT = 3.0
 LONGEST_STEM = 12
 THRESHOLD = 0.3
 
@@ -124,27 +128,26 @@ def grammar() -> tuple[list, list, list[tuple]]:
 # ---- words ----
 
 
-@dataclass
 class Lexicon:
-    """Stems of insults; a stem that ends with ``$`` is a whole word."""
+    """Weights of insult stems; a stem that ends with ``$`` is a whole word."""
 
-    stems: list[str] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.known = set(self.stems)
-        self.sizes = sorted({len(s) for s in self.stems})
+    def __init__(self, stems: dict[str, float]):
+        self.stems = stems
+        self.sizes = sorted({len(s) for s in stems}, reverse=True)
         self.fixed = {w: k for k, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
 
-    def insult(self, word: str) -> bool:
+    def symbol(self, word: str) -> tuple[int, float]:
+        """Class and weight of a word: the longest stem that fits makes it an insult."""
         whole = word + "$"
-        return any(whole[:n] in self.known for n in self.sizes if n <= len(whole))
-
-    def symbol(self, word: str) -> int:
-        return INSULT if self.insult(word) else self.fixed.get(word, OTHER)
+        for n in self.sizes:
+            weight = self.stems.get(whole[:n]) if n <= len(whole) else None
+            if weight is not None:
+                return INSULT, weight
+        return self.fixed.get(word, OTHER), THREAT_WEIGHT
 
     def hits(self, text: str) -> bool:
         """Whether a run of characters without white space holds an insult or threat."""
-        return any(self.symbol(w) in (INSULT, THREAT) for w in ((text,) if text.isalpha() else _LETTERS.findall(text)))
+        return any(self.symbol(w)[0] in (INSULT, THREAT) for w in ((text,) if text.isalpha() else _LETTERS.findall(text)))
 
 
 def prefixes(text: str) -> set[str]:
@@ -156,32 +159,34 @@ def prefixes(text: str) -> set[str]:
     return out
 
 
-def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> list[str]:
-    """Stems from (toxic texts, clean texts) per beginning."""
+def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Weights of stems from (toxic texts, clean texts) per beginning."""
+    def weight(n1: int, n0: int) -> float:
+        return min(MOST, float(np.log((n1 + 0.5) / (toxic + 1)) - np.log((n0 + 0.5) / (clean + 1))))
+
     def strong(n1: int, n0: int) -> bool:
-        if n1 < TEXTS:
+        if n1 < TEXTS or weight(n1, n0) < LOG_RATIO:
             return False
-        p1, p0 = (n1 + 0.5) / (toxic + 1), (n0 + 0.5) / (clean + 1)
         both = (n1 + n0) / (toxic + clean)
-        gain = 2 * (n1 * np.log(n1 / (toxic * both)) + (n0 * np.log(n0 / (clean * both)) if n0 else 0))
-        return np.log(p1 / p0) >= LOG_RATIO and gain >= STATISTIC
+        return 2 * (n1 * np.log(n1 / (toxic * both)) + (n0 * np.log(n0 / (clean * both)) if n0 else 0)) >= STATISTIC
 
-    chosen: set[str] = set()
     longer: dict[str, list[str]] = {}
     for p in counts:
         longer.setdefault(p[:-1], []).append(p)
+    chosen: dict[str, float] = {}
     for p in sorted(counts, key=lambda p: (len(p), p)):
-        if not any(p[:n] in chosen for n in range(STEM, len(p))) and strong(*counts[p]):
-            chosen.add(p)
-    out = []
-    for p in chosen:  # a longer stem that loses next to no toxic text is safer
+        above = max((chosen[p[:n]] for n in range(STEM, len(p)) if p[:n] in chosen), default=0.0)
+        if above and counts[p][0] >= FAMILY_TEXTS and weight(*counts[p]) >= above + MORE or not above and strong(*counts[p]):
+            chosen[p] = weight(*counts[p])
+    out = {}
+    for p, known in chosen.items():  # a longer stem that loses next to no toxic text is safer
         while True:
             after = max(longer.get(p, []), key=lambda q: counts[q][0], default=None)
             if after is None or counts[after][0] < 0.97 * counts[p][0]:
                 break
-            p = after
-        out.append(p)
-    return sorted(out)
+            p, known = after, max(known, weight(*counts[after]))
+        out[p] = max(known, out.get(p, 0.0))
+    return out
 
 
 # ---- texts ----
@@ -189,10 +194,10 @@ def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
 _TOGETHER = 1 << 22
 
 
-def pattern_counts(texts: pa.Array, lexicon: Lexicon, machine: tuple) -> np.ndarray:
-    """Counts (texts, patterns). Only texts with an insult or threat are read clause by clause."""
+def pattern_sums(texts: pa.Array, lexicon: Lexicon, machine: tuple) -> np.ndarray:
+    """Sums of word weights (texts, patterns). Only texts with an insult or threat are read clause by clause."""
     after, out, patterns = machine
-    counts = np.zeros((len(texts), len(patterns)))
+    sums = np.zeros((len(texts), len(patterns)))
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
     split = pc.ascii_split_whitespace(lower)
     coded = split.flatten().dictionary_encode()
@@ -204,11 +209,11 @@ def pattern_counts(texts: pa.Array, lexicon: Lexicon, machine: tuple) -> np.ndar
         for clause in _CLAUSE.split(lower[int(i)].as_py()):
             state = 0
             for word in _LETTERS.findall(clause):
-                symbol = lexicon.symbol(word)
+                symbol, weight = lexicon.symbol(word)
                 pattern, state = out[state][symbol], after[state][symbol]
                 if pattern >= 0:
-                    counts[i, pattern] += 1
-    return counts
+                    sums[i, pattern] += weight
+    return np.minimum(sums, 10 * MOST)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +231,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    stems: list[str]
+    stems: dict[str, float]
     weights: list[float]  # per pattern
     bias: float
 
@@ -246,15 +251,15 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
 def _count_prefixes(texts: DataFrame, known: set[str] | None) -> DataFrame:
     wanted = None if known is None else texts.sparkSession.sparkContext.broadcast(known)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         for batch in batches:
-            for text in batch["text"]:
-                found = prefixes(text or "")
+            for text in batch.column(0):
+                found = prefixes(text.as_py() or "")
                 sums.update(found if wanted is None else found & wanted.value)
-        yield pd.DataFrame({"prefix": list(sums), "n": list(sums.values())}, columns=["prefix", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["prefix", "n"])
 
-    return texts.select("text").mapInPandas(count, "prefix string, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "prefix string, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
@@ -278,25 +283,35 @@ def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     sample = materialize(labelled_sample(documents, labels))
     toxic, clean = sample.where("toxic = 1"), sample.where("toxic = 0")
     n1, n0 = toxic.count(), clean.count()
-    stems: list[str] = []
+    stems: dict[str, float] = {}
     if n1 and n0:
-        often = {r["prefix"]: r["n"] for r in _count_prefixes(toxic, None).where(F.col("n") >= TEXTS).collect()}
-        rare = {r["prefix"]: r["n"] for r in _count_prefixes(clean, set(often)).collect()}
-        stems = choose_stems({p: (n, rare.get(p, 0)) for p, n in often.items()}, n1, n0)
+        counted = materialize(_count_prefixes(toxic, None))
+
+        def against_clean(rows: DataFrame) -> dict[str, tuple[int, int]]:
+            often = {r["prefix"]: r["n"] for r in rows.collect()}
+            rare = {r["prefix"]: r["n"] for r in _count_prefixes(clean, set(often)).collect()}
+            return {p: (n, rare.get(p, 0)) for p, n in often.items()}
+
+        counts = against_clean(counted.where(F.col("n") >= TEXTS))
+        roots = choose_stems(counts, n1, n0)
+        if roots:  # rarer words of the same families
+            of_family = reduce(lambda a, b: a | b, [
+                F.substring("prefix", 1, size).isin([r for r in roots if len(r) == size]) for size in sorted({len(r) for r in roots})])
+            counts |= against_clean(counted.where((F.col("n") >= FAMILY_TEXTS) & of_family))
+            stems = choose_stems(counts, n1, n0)
     machine = grammar()
-    fixed = [2.0 if kind == INSULT else 3.0 for kind, _ in machine[2]]
-    fixed = [w * (0.2 if "negated" in m else 1) * (0.4 if "reported" in m else 1) * (1.5 if "addressed" in m else 1) for w, (_, m) in zip(fixed, machine[2], strict=True)]
+    fixed = [1.0 * (0.2 if "negated" in m else 1) * (0.4 if "reported" in m else 1) * (1.5 if "addressed" in m else 1) for _, m in machine[2]]
     if not (n1 and n0):
-        return ToxicityModel(stems, fixed, -3.0)
+        return ToxicityModel(stems, fixed, -4.0)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, table = Lexicon(stems), grammar()
         for batch in _parts(batches):
-            counts = pattern_counts(batch.column(0), lexicon, table)
+            counts = pattern_sums(batch.column(0), lexicon, table)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(counts), pa.list_(pa.float64()))], names=["toxic", "counts"])
 
     seen = sample.select("text", "toxic").mapInArrow(look, "toxic int, counts array<double>").groupBy("toxic", "counts").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    x = np.log1p(np.array(seen["counts"].tolist()))
+    x = np.array(seen["counts"].tolist())
     rows = np.repeat(np.arange(len(seen)), seen["n"])
     # fixed weights are the prior of patterns that the labels do not hold
     weight, bias = _logistic(x[rows], seen["toxic"].to_numpy()[rows])
@@ -314,8 +329,8 @@ def score(documents: DataFrame, model: ToxicityModel, keep: list[str], text: str
         lexicon, table = Lexicon(stems), grammar()
         for texts in parts:
             batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-            found = [pattern_counts(b.column(0), lexicon, table) for b in _parts([batch])]
+            found = [pattern_sums(b.column(0), lexicon, table) for b in _parts([batch])]
             counts = np.concatenate(found) if found else np.zeros((0, len(weights)))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.log1p(counts) @ weights + bias, -30, 30))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(counts @ weights + bias, -30, 30))))
 
     return documents.select(*keep, rate(F.col(text).cast("string")).alias("score"))

@@ -31,7 +31,7 @@ def test_learned_stems_find_unseen_words(spark):
 def test_odd_rows_and_no_labels(spark):
     docs = documents(spark, odd_rows())
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert model.stems == []
+    assert model.stems == {}
     rows = toxicity.score(docs, model, ["doc_id", "text"]).collect()
     assert len(rows) == len(odd_rows()) and all(0 <= r["score"] < 0.3 for r in rows)
     assert toxicity.score(documents(spark, []), model, ["doc_id"]).count() == 0
