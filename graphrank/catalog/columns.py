@@ -57,16 +57,25 @@ def annotation_namespaces(s: Sources) -> DataFrame:
     return s.table("events").select("event_id", C.go_namespace(raw).alias("namespace"))
 
 
-@query("C9", """SELECT vec_id, CAST(64 AS BIGINT) AS width, embedding[1] AS first_value,
-    embedding[64] AS last_value FROM embeddings""")
+@query("C9", """SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS idx, unnest(embedding) AS value FROM embeddings""")
 def parsed_vectors(s: Sources) -> DataFrame:
+    """Every component of every vector, read from text."""
     comma = F.concat(F.lit("["), F.concat_ws(", ", F.col("embedding").cast("array<string>")), F.lit("]"))
     blank = F.concat_ws(" ", F.col("embedding").cast("array<string>"))
     vector = C.parse_vector(F.when(F.col("vec_id") % 2 == 0, comma).otherwise(blank))
-    return s.table("embeddings").select("vec_id", vector.alias("v")).select(
-        "vec_id", F.size("v").cast("bigint").alias("width"),
-        F.col("v")[0].cast("float").alias("first_value"), F.col("v")[63].cast("float").alias("last_value"),
-    )
+    return s.table("embeddings").select("vec_id", F.posexplode(vector).alias("idx", "value")).select(
+        "vec_id", F.col("idx").cast("bigint").alias("idx"), F.col("value").cast("float").alias("value"))
+
+
+@query("C2, C3, C7", """SELECT p_partkey, p_size % 5 = 0 AS name_missing, p_size % 7 = 0 AS price_missing FROM part""")
+def missing_values(s: Sources) -> DataFrame:
+    """Columns found by the first of several names, and what is missing in them."""
+    parts = s.table("part")
+    C.ensure_columns(parts, ["p_partkey", "p_size"])
+    name, price = C.optional_column(parts, ("symbol", "label", "p_name")), C.first_present_column(parts, ("price", "p_retailprice"))
+    text = F.when(F.col("p_size") % 5 != 0, F.col(name))
+    number = F.when(F.col("p_size") % 7 == 0, float("nan")).otherwise(F.col(price))
+    return parts.select("p_partkey", C.is_missing(text).alias("name_missing"), C.is_missing(number, floating=True).alias("price_missing"))
 
 
 _HASHED = """w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(replace(lower(text), '_', ' '),

@@ -12,6 +12,7 @@ from graphrank.functions import columns as C
 from graphrank.operators import features as X
 from graphrank.operators import graph as G
 from graphrank.operators import propagation as P
+from graphrank.plans import pipeline
 from graphrank.plans.binding import Sources, gene_key
 from graphrank.sources import tables as T
 from graphrank.streaming import upsert as U
@@ -24,6 +25,18 @@ def canonical_edges(s: Sources) -> DataFrame:
     return s.edges().select("edge_table", "source_id", "source_type", "edge_type", "target_type", "target_id")
 
 
+@query("G1-G7, R1-R20 as one job", with_tables("edges", _EDGE_ROWS))
+def built_graph(s: Sources) -> DataFrame:
+    """Raw sources to stored, checked and reread edges."""
+    raw = {
+        "associations": s.associations(), "protein_links": s.protein_links(), "proteins": s.protein_file(), "accessions": s.accession_file(),
+        "targets": s.target_file(), "mechanisms": s.mechanism_file(), "pathways": s.pathway_file(), "annotations": s.annotation_file(),
+        "hierarchy": s.hierarchy_file(),
+    }
+    edges, _ = pipeline.build_and_store(raw, scratch(s.spark, "built"), disease=None)
+    return edges.select("edge_table", "source_id", "source_type", "edge_type", "target_type", "target_id")
+
+
 @query("S5, S6, G5", with_tables("edges dr1", """SELECT e.edge_table, e.head AS source_id, e.tail AS target_id, d.target AS target_chembl_id, d.action AS action_type
     FROM edges e JOIN dr1 d ON e.head = d.head AND e.tail = d.tail WHERE edge_table = 'drug_gene'"""))
 def stored_graph_relation(s: Sources) -> DataFrame:
