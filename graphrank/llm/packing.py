@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from graphrank.llm.common import materialize, ship, shuffle_partitions
 
 #: Words, and stems of words, whose ids a Python worker remembers, and the longest of them.
-_WORDS, _STEMS, _LONGEST = 1 << 19, 1 << 20, 48
+_WORDS, _STEMS, _LONGEST = 1 << 17, 1 << 19, 48
 #: Characters of text that are tokenized together.
-_TOGETHER = 1 << 23
+_TOGETHER = 1 << 21
 _worker: dict = {}
 
 
