@@ -1,19 +1,21 @@
 """Licence scan by conditional compression.
 
 Lines that may belong to a licence are joined to blocks. A block is compressed alone and with each template as a
-raw zstandard dictionary; the more of the block the template already says, the more bytes it saves. The templates that
-save most are compared with the block word by word: the differences from the template's first to its last word that
-the block has are exact, and decide. A licence is confirmed if at most a tenth of its words are missing, changed
-or added, and no word that tells it from another licence.
+raw zstandard dictionary; the more of the block the template already says, the more bytes it saves. That ranks the
+templates. All that share three words in a row with the block are compared with it word by word, in this
+order: the differences from the template's first to its last word that is there are exact, and decide. A licence is
+confirmed if at most a tenth of its words are missing, changed or added, and no word that tells it from another licence.
 
 Cases: null and empty texts have no block; lines are split at line feeds; hint lines at most ``GAP`` lines apart are one
-block with what stands between; equal reductions go to the first template; a block with several licences gives a row for
+block with what stands between; equal reductions go to the first template, and
+a template that holds another one goes before it; a block with several licences gives a row for
 each; repeated rows give equal rows; a block without a confirmed licence is one row with a null licence.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from graphrank.llm.common import ship
 from graphrank.llm.license_templates import HINT, TEMPLATES
 
-#: Lines between hint lines of one block, templates that are compared, least bytes' share saved, most differing words' share.
-GAP, COMPARED, LEAST_SAVED, MOST_CHANGED = 4, 6, 0.05, 0.1
+#: Lines between hint lines of one block, most differing words' share, words in a row that make a template worth comparing.
+GAP, MOST_CHANGED, SEED = 4, 0.1, 3
 _WORDS = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 #: Words that tell one licence from another: none of them may differ.
 _TELLING = re.compile(r"\d|^(?:nc|sa|nd|by|by-.*|cc0?|mit|bsd|apache|gnu|lesser|affero|general|mozilla|attribution.*|noncommercial|sharealike)$")
@@ -48,14 +50,23 @@ def _templates():
             known = zstd.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
             plain.append((name, words, zstd.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)))
         _state["alone"] = zstd.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
+        seeds: dict[tuple, list[tuple[int, int]]] = {}
+        for n, (_, words, _) in enumerate(plain):
+            first: dict[tuple, int] = {}
+            for i in range(len(words) - SEED + 1):
+                first.setdefault(tuple(words[i : i + SEED]), i)
+            for gram, i in first.items():
+                seeds.setdefault(gram, []).append((n, i))
+        said = [f" {' '.join(words)} " for _, words, _ in plain]
+        _state["seeds"] = seeds
+        _state["holders"] = [[m for m, whole in enumerate(said) if len(whole) > len(part) and part in whole] for part in said]
         _state["templates"] = plain
     return _state["alone"], _state["templates"]
 
 
-def blocks(text: str) -> list[tuple[int, list[str]]]:
-    """(first line, lines) of every block of hint lines."""
+def blocks(lines: list[str]) -> list[list[int]]:
+    """[first line, last line] of every block of hint lines."""
     hint = _state.setdefault("hint", re.compile(HINT))
-    lines = text.split("\n")
     out: list[list[int]] = []
     for i, line in enumerate(lines):
         if hint.search(line):
@@ -63,71 +74,94 @@ def blocks(text: str) -> list[tuple[int, list[str]]]:
                 out[-1][1] = i
             else:
                 out.append([i, i])
-    return [(a, lines[a : b + 1]) for a, b in out]
-
-
-def differences(template: list[str], words: list[str], taken: list[bool]) -> tuple[int, int, bool, int, int] | None:
-    """(missing, added, whether a telling word differs, begin, end) of the place in ``words`` that is nearest to the template."""
-    size = min(3, len(template))
-    grams: dict[tuple, int] = {}
-    for i in range(len(template) - size + 1):
-        grams.setdefault(tuple(template[i : i + size]), i)
-    best, tried = None, set()
-    for j in range(len(words) - size + 1):
-        i = grams.get(tuple(words[j : j + size]))
-        if i is None or j - i in tried or taken[j]:
-            continue
-        tried.add(j - i)
-        low, high = max(0, j - i - len(template) // 4), min(len(words), j - i + len(template) + len(template) // 4 + 1)
-        part = words[low:high]
-        codes = [c for c in SequenceMatcher(None, template, part, autojunk=False).get_opcodes()]
-        same = [c for c in codes if c[0] == "equal"]
-        if not same:
-            continue
-        begin, end = same[0][3], same[-1][4]
-        missing = added = 0
-        telling = False
-        for what, a, b, c, d in codes:
-            if what != "equal":
-                lost, extra = template[a:b], part[max(c, begin) : min(d, end)]
-                missing, added = missing + len(lost), added + len(extra)
-                telling |= any(_TELLING.search(w) for w in lost + extra)
-        found = (missing + added, missing, added, telling, low + begin, low + end)
-        if best is None or found < best:
-            best = found
-        if not found[0]:
-            break
-    return best and best[1:]
+    return out
+
+
+def differences(template: list[str], words: list[str], taken: list[bool], start: int) -> tuple[int, int, bool, int, int] | None:
+    """(missing, added, whether a telling word differs, begin, end) of the template about word ``start``, clipped where they are fewest."""
+    slack = len(template) // 4
+    low, high = max(0, start - slack), min(len(words), start + len(template) + slack + 1)
+    part = [None if taken[k] else words[k] for k in range(low, high)]
+    codes = SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
+    same = [k for k, c in enumerate(codes) if c[0] == "equal"]
+    if not same:
+        return None
+    apart, sums = 0, {}  # differing words before each equal stretch
+    for k in range(same[0], same[-1] + 1):
+        what, a, b, c, d = codes[k]
+        if what == "equal":
+            sums[k] = apart
+        else:
+            apart += b - a + d - c
+    left = min(same, key=lambda k: codes[k][1] - sums[k])
+    right = min((k for k in same if k >= left), key=lambda k: sums[k] - codes[k][2])
+    between = [c for c in codes[left:right] if c[0] != "equal"]
+    lost = [*template[: codes[left][1]], *(w for _, a, b, _, _ in between for w in template[a:b]), *template[codes[right][2] :]]
+    extra = [w for _, _, _, c, d in between for w in part[c:d]]
+    telling = any(w is not None and _TELLING.search(w) for w in (*lost, *extra))
+    return len(lost), len(extra), telling, low + codes[left][3], low + codes[right][4]
+
+
+def confirmed(template: list[str], words: list[str], taken: list[bool], starts: set[int], inside: tuple[int, int]) -> Iterator[tuple[int, int, int, int]]:
+    """(missing, added, begin, end) of every place of the template that touches the words ``inside``; marks the words as taken."""
+    while True:
+        near = set()
+        for start in starts:
+            found = differences(template, words, taken, start)
+            if found:
+                missing, added, telling, begin, end = found
+                if not telling and missing + added <= MOST_CHANGED * len(template) and begin < inside[1] and end > inside[0]:
+                    near.add((missing + added, missing, added, begin, end))
+        some = False
+        for _, missing, added, begin, end in sorted(near):
+            if not any(taken[begin:end]):
+                taken[begin:end] = [True] * (end - begin)
+                some = True
+                yield missing, added, begin, end
+        if not some:
+            return
 
 
 def scan(text: str | None) -> list[tuple]:
     """Rows of all blocks of a text, in the columns of ``_SCHEMA``."""
-    out = []
     if not text:
-        return out
+        return []
     alone, templates = _templates()
-    for first, lines in blocks(text):
-        words = normal_words(" ".join(lines))
-        data = " ".join(words).encode()
+    lines = text.split("\n")
+    words: list[str] = []
+    place, at = [0], []  # place of each line's first word, line of each word
+    for i, line in enumerate(lines):
+        said = normal_words(line)
+        words += said
+        at += [i] * len(said)
+        place.append(len(words))
+    taken = [True] * len(words)
+    for a, b in blocks(lines):
+        taken[place[a] : place[b + 1]] = [False] * (place[b + 1] - place[a])
+    seeds = [(j, n, j - i) for j in range(len(words) - SEED + 1) for n, i in _state["seeds"].get(tuple(words[j : j + SEED]), ())]
+    reach = max(len(t) for _, t, _ in templates) * 5 // 4 + 1
+    out: list[list] = []  # first line, last line, best saving, rows
+    for a, b in blocks(lines):
+        inside = place[a], place[b + 1]
+        data = " ".join(words[slice(*inside)]).encode()
         size = len(alone.compress(data))
-        saved = sorted(((len(c.compress(data)) - size, n) for n, (_, _, c) in enumerate(templates)))
-        taken, found = [False] * len(words), 0
-        for change, n in saved[:COMPARED]:
+        saved = [len(c.compress(data)) - size for _, _, c in templates]
+        ranked = sorted(range(len(templates)), key=lambda n: (saved[n], n))
+        starts: dict[int, set[int]] = {}
+        for _, n, start in seeds[bisect_left(seeds, (inside[0] - reach,)) : bisect_left(seeds, (inside[1] + reach,))]:
+            starts.setdefault(n, set()).add(start)
+        rows, first, last = [], a, b
+        for n in dict.fromkeys(m for n in ranked for m in (*_state["holders"][n], n)):
             name, template, _ = templates[n]
-            # what a template can save is bounded by its own length too
-            if -change < LEAST_SAVED * min(size, len(" ".join(template))):
-                break
-            while True:
-                near = differences(template, words, taken)
-                if near is None or near[2] or near[0] + near[1] > MOST_CHANGED * len(template) or any(taken[near[3] : near[4]]):
-                    break
-                missing, added, _, begin, end = near
-                taken[begin:end] = [True] * (end - begin)
-                out.append((first, len(lines), name, n, -change / size, missing, added, missing == added == 0))
-                found += 1
-        if not found:
-            out.append((first, len(lines), None, None, max(0.0, -saved[0][0] / size), None, None, False))
-    return out
+            for missing, added, begin, end in confirmed(template, words, taken, starts.get(n, set()), inside):
+                rows.append((name, n, -saved[n] / size, missing, added, missing == added == 0))
+                first, last = min(first, at[begin]), max(last, at[end - 1])
+        best = max(0.0, -saved[ranked[0]] / size)
+        while out and out[-1][1] >= first:
+            before = out.pop()
+            first, last, best, rows = min(first, before[0]), max(last, before[1]), max(best, before[2]), before[3] + rows
+        out.append([first, last, best, rows])
+    return [(first, last - first + 1, *row) for first, last, best, rows in out for row in rows or [(None, None, best, None, None, False)]]
 
 
 def licences(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,4 @@
-from data import documents, odd_rows
+from data import documents, odd_rows, prose
 
 from graphrank.llm import licenses
 from graphrank.llm.license_templates import TEMPLATES
@@ -27,3 +27,19 @@ def test_odd_rows(spark):
     assert licenses.licences(documents(spark, [])).count() == 0
     rows = licenses.licences(documents(spark, [(None, "Released under the MIT License.", None, None)] * 2)).collect()
     assert [(r["doc_id"], r["license"]) for r in rows] == [(None, "MIT")] * 2
+
+
+def test_more_notices_than_few():
+    short = [(n, w) for n, w in TEMPLATES if len(w.split()) < 16]
+    assert len(short) > 8
+    got = licenses.scan("\n".join(w for _, w in short))
+    assert sorted(r[2] for r in got) == sorted(n for n, _ in short) and all(r[7] for r in got)
+    assert len({r[:2] for r in got}) == 1
+
+
+def test_short_notice_in_a_very_long_line():
+    far = " ".join(prose(k, 60).replace("\n", " ") for k in range(400))
+    got = licenses.scan(f"{far} Software distributed under the License is distributed on an AS IS BASIS. {far} Licensed under CC BY-NC 4.0. {far}")
+    assert [(r[2], r[7]) for r in got] == [("CC-BY-NC-4.0", True)]
+    twice = "Licensed under CC BY 3.0.\nLicensed under CC BY 4.0."
+    assert [r[2] for r in licenses.scan(twice)] == ["CC-BY-4.0"]
