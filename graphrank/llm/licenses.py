@@ -2,13 +2,13 @@
 
 Lines that may belong to a licence are joined to blocks. A block is compressed alone and with each template as a
 raw zstandard dictionary; the more of the block the template already says, the more bytes it saves. That ranks the
-templates. All that share three words in a row with the block are compared with it word by word, in this
+templates. All that share three words in a row with the block or its surroundings are compared with it word by word, in this
 order: the differences from the template's first to its last word that is there are exact, and decide. A licence is
 confirmed if at most a tenth of its words are missing, changed or added, and no word that tells it from another licence.
 
 Cases: null and empty texts have no block; lines are split at line feeds; hint lines at most ``GAP`` lines apart are one
-block with what stands between; equal reductions go to the first template, and
-a template that holds another one goes before it; a block with several licences gives a row for
+block with what stands between, and so are all lines of a confirmed licence; equal reductions go to the first template, and
+a template that holds another one goes before it; list numbers tell nothing; a block with several licences gives a row for
 each; repeated rows give equal rows; a block without a confirmed licence is one row with a null licence.
 """
 
@@ -29,8 +29,11 @@ from graphrank.llm.license_templates import HINT, TEMPLATES
 #: Lines between hint lines of one block, most differing words' share, words in a row that make a template worth comparing.
 GAP, MOST_CHANGED, SEED = 4, 0.1, 3
 _WORDS = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
-#: Words that tell one licence from another: none of them may differ.
-_TELLING = re.compile(r"\d|^(?:nc|sa|nd|by|by-.*|cc0?|mit|bsd|apache|gnu|lesser|affero|general|mozilla|attribution.*|noncommercial|sharealike)$")
+#: Numbers of list items, at the start of a line or after a sentence; a number after these words is a version.
+_ITEM = re.compile(r"(?P<start>^\W*)(\d{1,2})[.)](?=\s|$)|[.:;,]\s+(?:and\s+|or\s+)?\(?(\d{1,2})[.)](?=\s|$)")
+_VERSIONED, _NAMED = frozenset("v ver version versions".split()), frozenset("v ver version versions license licence gpl lgpl agpl apache mpl bsd cc by sa nc nd".split())
+#: Words that tell one licence from another: none of them may differ. List numbers are written with a number sign.
+_TELLING = re.compile(r"^[^#]*\d|^(?:nc|sa|nd|by|by-.*|cc0?|mit|bsd|apache|gnu|lesser|affero|general|mozilla|attribution.*|noncommercial|sharealike)$")
 _SCHEMA = ("first_line int, n_lines int, license string, template int, saved double, missing int, added int, exact boolean")
 _state: dict = {}
 
@@ -39,6 +42,23 @@ def normal_words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+def line_words(line: str, before: str | None) -> list[str]:
+    """Words of a line, with ``#`` before the numbers of list items; ``before`` is the last word of the line before."""
+    line = line.lower()
+    items = set()
+    for m in _ITEM.finditer(line):
+        if m["start"] is not None:
+            version = before in _NAMED
+        else:
+            said = _WORDS.findall(line, max(0, m.start() - 40), m.start())
+            version = bool(said) and said[-1] in (_NAMED if line[m.start()] == "," else _VERSIONED)
+        if not version:
+            items.add(m.start(2) if m["start"] is not None else m.start(3))
+    if not items:
+        return _WORDS.findall(line)
+    return [f"#{m[0]}" if m.start() in items else m[0] for m in _WORDS.finditer(line)]
+
+
 def _templates():
     """Per template: name, words, compressor with the template as dictionary. Made once in a worker."""
     if "templates" not in _state:
@@ -131,19 +151,17 @@ def scan(text: str | None) -> list[tuple]:
     words: list[str] = []
     place, at = [0], []  # place of each line's first word, line of each word
     for i, line in enumerate(lines):
-        said = normal_words(line)
+        said = line_words(line, words[-1] if i and place[-1] > place[-2] else None)
         words += said
         at += [i] * len(said)
         place.append(len(words))
-    taken = [True] * len(words)
-    for a, b in blocks(lines):
-        taken[place[a] : place[b + 1]] = [False] * (place[b + 1] - place[a])
+    taken = [False] * len(words)
     seeds = [(j, n, j - i) for j in range(len(words) - SEED + 1) for n, i in _state["seeds"].get(tuple(words[j : j + SEED]), ())]
     reach = max(len(t) for _, t, _ in templates) * 5 // 4 + 1
     out: list[list] = []  # first line, last line, best saving, rows
     for a, b in blocks(lines):
         inside = place[a], place[b + 1]
-        data = " ".join(words[slice(*inside)]).encode()
+        data = " ".join(words[slice(*inside)]).replace("#", "").encode()
         size = len(alone.compress(data))
         saved = [len(c.compress(data)) - size for _, _, c in templates]
         ranked = sorted(range(len(templates)), key=lambda n: (saved[n], n))

@@ -1,3 +1,5 @@
+import textwrap
+
 from data import documents, odd_rows, prose
 
 from graphrank.llm import licenses
@@ -43,3 +45,24 @@ def test_short_notice_in_a_very_long_line():
     assert [(r[2], r[7]) for r in got] == [("CC-BY-NC-4.0", True)]
     twice = "Licensed under CC BY 3.0.\nLicensed under CC BY 4.0."
     assert [r[2] for r in licenses.scan(twice)] == ["CC-BY-4.0"]
+
+
+def test_wrapped_templates():
+    for name, wording in TEMPLATES:
+        for width in (72, 76, 78, 80):
+            for mark in ("", " * ", "# "):
+                text = "\n".join(f"{mark}{line}" for line in textwrap.wrap(wording, width))
+                text = f"{prose(1, 300)}\n\n{text}\n\n{prose(2, 300)}"
+                assert [(r[2], r[7]) for r in licenses.scan(text)] == [(name, True)], (name, width)
+
+
+def test_list_numbers_tell_nothing():
+    wording = TEMPLATES[6][1]
+    for k, clause in enumerate(("Redistributions of source", "Redistributions in binary", "Neither the name"), 1):
+        wording = wording.replace(clause, f"{k}. {clause}")
+    for text in (wording, wording.replace("1. ", "\n\n1. ").replace("2. ", "\n2. ").replace("3. ", "\n3. "), "\n".join(textwrap.wrap(wording, 76)), wording.replace("1.", "(1)").replace("2.", "(2)").replace("3.", "(3)")):
+        row, = licenses.scan(text)
+        assert (row[2], row[5], row[6], row[7]) == ("BSD-3-Clause", 0, 3, False)
+    for old in ("version\n3.", "version 3.", "version 1."):
+        got = [r[2] for r in licenses.scan(f"This work is licensed under the GNU General Public License, {old} 4. More")]
+        assert got == [None if "1" in old else "GPL-3.0"]
