@@ -10,7 +10,8 @@ Potentials are smoothed counts over labelled pages: the fixed ones of ``labelled
 own markup, a bounded sample of the table whose pages have exactly one article or main element.
 
 Cases: null and empty html have no text; tags that are never closed, end tags that were never opened, broken comments and
-attributes are read on as browsers do, more or less; scripts, styles and other raw elements are never text; repeated rows
+attributes are read on as browsers do, more or less; scripts, styles and other raw elements are never text,
+nor are drawings, buttons, choices and templates, whose unended ones hide no later block; formulas are text; repeated rows
 give equal rows; a table without labelled pages is read with the fixed ones alone.
 """
 
@@ -32,10 +33,16 @@ from graphrank.llm.labelled_pages import PAGES
 FIT_PAGES, FIXED_WEIGHT = 512, 40.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button|title|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
+RAW = re.compile(r"<(/?)(script|style|textarea|iframe|noscript|title|svg|math)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 UNENDED = re.compile(r"<[a-zA-Z/][^<>]*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
+INLINE |= frozenset("math mi mo mn ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror semantics".split())
+#: Elements whose text is not read. Without an end tag the first three last to the next block, the others are passed over.
+SILENT = frozenset("svg select template object canvas button annotation annotation-xml".split())
+LASTING = frozenset("svg select template".split())
+_UNENDED_SILENT = frozenset(f"{t}?" for t in LASTING)  # their names among the open elements
+_HUSHED = SILENT | _UNENDED_SILENT
 NAMES = re.compile(r"(?:\b(?:class|id|role|itemprop)\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 #: Kinds by tag, then by words in class, id and role.
@@ -56,6 +63,7 @@ NAME_KINDS = {
     "share": "share sharing social follow buttons",
     "main": "article main content post entry story text articlebody entrycontent postcontent maincontent body prose"}
 _KIND_OF_NAME = {w: kind for kind, words in NAME_KINDS.items() for w in words.split()}
+_BREAKS = frozenset(TAG_KINDS) | frozenset("div section center address details summary hgroup search".split())
 APART = frozenset("nav header footer side ad notice form comment share".split())
 _STRONG = ("comment", "ad", "notice", "nav", "share", "form", "side", "footer", "header", "main")
 
@@ -76,6 +84,48 @@ def kind_of(tag: str, attributes: str) -> str:
     return own or "div"
 
 
+def without_raw(source: str) -> str:
+    """The page without comments and raw elements, which run to their end tag, or without one to the end of the page."""
+    out, at, foreign, unended = [], 0, 0, set()
+    while match := RAW.search(source, at):
+        out.append(source[at : match.start()])
+        at = match.end()
+        name = (match[2] or "").lower()
+        closed = name and match[3].rstrip().endswith("/")
+        if name in ("svg", "math"):
+            foreign = max(0, foreign - 1) if match[1] else foreign + (not closed)
+            out.append(match[0])
+            continue
+        out.append(" ")
+        if name and not match[1] and not (foreign and closed):
+            end = None if name in unended else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if end:
+                at = end.end()
+            elif foreign:  # a drawing ends before the page does
+                unended.add(name)
+            else:
+                return "".join(out)
+    out.append(source[at:])
+    return "".join(out)
+
+
+def ended(tags: list[re.Match]) -> set[int]:
+    """Starts of the silent elements that have an end tag of their own."""
+    found, pending = set(), {}
+    for match in tags:
+        tag = match[2].lower()
+        if tag in SILENT:
+            waiting = pending.setdefault(tag, [])
+            if match[1]:
+                if waiting:
+                    found.add(waiting.pop())
+            elif not match[3].rstrip().endswith("/"):
+                if tag in ("button", "select"):  # do not nest
+                    waiting.clear()
+                waiting.append(match.start())
+    return found
+
+
 class Page:
     """Blocks in page order: parent, kind, nearest telling ancestor, text pieces, characters of text and of link text."""
 
@@ -84,26 +134,49 @@ class Page:
         self.pieces: list[tuple[int, str]] = []
         self.label: list[int] = [0]
         self.landmarks = self.loose = 0
-        text = UNENDED.sub(" ", RAW.sub(" ", source))
+        text = UNENDED.sub(" ", without_raw(source))
         stack: list[tuple[str, int]] = [("", 0)]  # open elements with their block
-        links = at = 0
-        for match in TAG.finditer(text):
-            if match.start() > at:
+        links = hushed = at = 0
+        tags = list(TAG.finditer(text))
+        whole = ended(tags)
+
+        def cut(depth: int) -> None:
+            nonlocal links, hushed
+            links -= sum(t == "a" for t, _ in stack[depth:])
+            hushed -= sum(t in _HUSHED for t, _ in stack[depth:])
+            del stack[depth:]
+
+        for match in tags:
+            if match.start() > at and not hushed:
                 self._text(text[at : match.start()], stack[-1][1], links)
             at = match.end()
             tag, ending = match[2].lower(), bool(match[1])
+            if hushed and not ending and tag in _BREAKS:
+                for depth, (name, _) in enumerate(stack):
+                    if name in _UNENDED_SILENT:
+                        cut(depth)
+                        break
             if tag == "br" or tag == "hr":
-                self.pieces.append((stack[-1][1], " "))
+                if not hushed:
+                    self.pieces.append((stack[-1][1], " "))
             elif tag in VOID:
                 pass
             elif ending:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
-                        links -= sum(t == "a" for t, _ in stack[depth:])
-                        del stack[depth:]
+                        cut(depth)
                         break
-                if tag not in INLINE:
+                if tag not in INLINE and not hushed:
                     self.pieces.append((stack[-1][1], " "))
+            elif tag in SILENT:
+                self.pieces.append((stack[-1][1], " "))
+                if not match[3].rstrip().endswith("/") and (match.start() in whole or tag in LASTING):
+                    stack.append((tag if match.start() in whole else f"{tag}?", stack[-1][1]))
+                    hushed += 1
+            elif hushed:
+                if not match[3].rstrip().endswith("/"):
+                    links += tag == "a"
+                    stack.append((tag, stack[-1][1]))
             elif tag in INLINE:
                 if tag == "a":
                     links += 1
@@ -116,15 +189,14 @@ class Page:
                 for depth in range(len(stack) - 1, 0, -1):
                     name = stack[depth][0]
                     if name == "p" or name in ends.split():
-                        links -= sum(t == "a" for t, _ in stack[depth:])
-                        del stack[depth:]
+                        cut(depth)
                         if name != "p":
                             break
                     elif name in until or name not in INLINE:
                         if not ends or name in until:
                             break
                 self._block(tag, match[3], stack, labelled)
-        if at < len(text):
+        if at < len(text) and not hushed:
             self._text(text[at:], stack[-1][1], links)
 
     def _block(self, tag: str, attributes: str, stack: list, labelled: bool) -> None:

@@ -57,3 +57,26 @@ def test_marginals_equal_enumeration():
             one[v] += weight * labels[v]
     for got, want in zip(model.marginals(known), one, strict=True):
         assert abs(got - want / total) < 1e-9
+
+
+def test_elements_without_text_hide_no_article():
+    model = html_extract.TreeModel({}, {})
+    for source in html_extract.PAGES:
+        links, looks = html_extract.Counter(model.links), html_extract.Counter(model.looks)
+        html_extract._counts(html_extract.Page(source, labelled=True), 40.0, links, looks)
+        model = html_extract.TreeModel(dict(links), dict(looks))
+    article = f"<article><p>{STORY}</p><p>{STORY}</p></article>"
+    for before in (
+        "<svg class=icon />", "<object data='x.swf' />", "<canvas/>", "<div><button>Menu</div>", "<div><select><option>One<option>Two</div>", "<svg viewBox='0 0 1 1'><path d='M0'>",
+        "<select><option>One", "<button-group><a>x</a></button-group>", "<title-bar></title-bar>", "<svg-icon></svg-icon>", "<math/>", "<svg><title/><style/><path/></svg>",
+        "<svg><text>Drawn</text></svg>", "<nav><button><div>Menu</div></button></nav>", "<template><article><p>Later</p></article></template>", "<title>A</title>",
+        "<div><button>One <button>Two</button></div>", "<object><param name=a>", "<svg><title>T", "<script>'<p>'</script ><style>a</style\n>",
+    ):
+        label = "Menu " if before.startswith("<div><button>Menu") else "One " if before.startswith("<div><button>One") else ""  # of an unended button: text
+        assert model.text(before + article) == f"{label}{STORY} {STORY}", before
+        inside = f"<article><p>{STORY}</p>{before}<p>{STORY}</p></article>"
+        if "Menu" not in before and "One <" not in before and "<a>" not in before:
+            assert model.text(inside) == f"{STORY} {STORY}", before
+    formula = "<math><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><annotation>tex</annotation></math>"
+    assert model.text(f"<article><p>{STORY} {formula} {STORY}</p></article>") == f"{STORY} a+1 {STORY}"
+    assert model.text(f"<article><p>{STORY}<select><option>A</select> <button>B</button></p></article><script>{STORY}") == STORY
