@@ -26,7 +26,10 @@ MIN_ROWS, SHARE, STEPS = 100, 0.75, 6
 #: Quantiles of the chi-square distribution with five degrees of freedom: one half, and 1 - 1e-6.
 HALF, CUTOFF = 4.351, 35.888
 #: Least standard deviation of each statistic: most documents have no symbol and no repeated line, which is no measure of spread.
-FLOORS = {"length": 0.3, "word_length": 0.08, "symbols": 0.35, "lines": 0.5, "repeats": 0.8}
+#: The range of each statistic, in these, is more than the root of CUTOFF, so each can reject alone.
+FLOORS = {"length": 0.3, "word_length": 0.08, "symbols": 0.35, "lines": 0.35, "repeats": 0.55}
+#: Added to variances, so that statistics in a line have an inverse.
+RIDGE = 1e-6
 STATISTICS = tuple(FLOORS)
 _WINDOW = 8
 
@@ -98,8 +101,8 @@ def _estimates(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     floor = list(FLOORS.values())
 
     def covariance(i: int, j: int) -> Column:
-        least = floor[i] ** 2 if i == j else 0.0
-        return F.col(f"q_{max(i, j)}_{min(i, j)}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n") + least
+        found = F.col(f"q_{max(i, j)}_{min(i, j)}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n")
+        return F.greatest(found, F.lit(floor[i] ** 2)) + RIDGE if i == j else found
 
     matrix = F.array(*[F.array(*[covariance(i, j) for j in d]) for i in d])
     return out.select("group", "n", F.array(*[F.col(f"s_{i}") / F.col("n") for i in d]).alias("mean"), _inverse(matrix, len(names)).alias("precision"))
@@ -111,7 +114,7 @@ def _start(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     quartiles = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[
         F.percentile_approx(names[i], [0.25, 0.5, 0.75], 1000).alias(f"p_{i}") for i in d])
     floor = list(FLOORS.values())
-    spread = [F.pow((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 1.349, 2) + floor[i] ** 2 for i in d]
+    spread = [F.greatest(F.pow((F.col(f"p_{i}")[2] - F.col(f"p_{i}")[0]) / 1.349, 2), F.lit(floor[i] ** 2)) for i in d]
     return quartiles.select("group", "n", F.array(*[F.col(f"p_{i}")[1] for i in d]).alias("mean"), F.array(*[
         F.array(*[1 / spread[i] if i == j else F.lit(0.0) for j in d]) for i in d]).alias("precision"))
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -49,3 +50,16 @@ def test_inverse(spark):
     a = np.array([[2.0, 0.3, 0.1], [0.3, 1.5, -0.2], [0.1, -0.2, 0.7]])
     got = spark.range(1).select(quality._inverse(F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in a]), 3).alias("x")).first()["x"]
     assert np.allclose(got, np.linalg.inv(a))
+
+
+def test_repetition_alone_rejects(spark):
+    rows = [(i, prose(i, 80 + i % 50), "aa", "s") for i in range(300)]
+    draw = random.Random(1)
+    short = [prose(900 + k, 3).strip() for k in range(12)]
+    lines = "\n".join(draw.choice(short) for _ in range(60))  # changing order: no run of eight words comes twice
+    rows.append((1000, lines, "aa", "s"))
+    said = prose(5000, 15).replace("\n", " ")
+    rows.append((1001, said + prose(5001, 70).replace("\n", " ") + said, "aa", "s"))
+    got = {r["row"]["doc_id"]: r for r in quality.verdicts(documents(spark, rows), ["doc_id"]).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert [(got[i]["base_failed"], got[i]["kept"]) for i in (1000, 1001)] == [(False, False)] * 2
