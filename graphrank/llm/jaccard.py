@@ -548,13 +548,16 @@ def component_ids(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
 
 
 def representatives(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """The rows, in all their columns, of the document that names its component; of repeated rows one stays.
+    """One row of each component, in all its columns: of its smallest id, null the largest; of repeated rows one stays.
 
-    Documents without a word all stay.
+    Rows are told apart by id and text, so each text under a null or repeated id counts. Documents without a word all stay.
     """
-    ids = component_ids(documents, rule).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept"), (F.col("n_shingles") > 0).alias("_worded")).dropDuplicates()
-    rows = documents.select(F.struct(*documents.columns).alias("row"))
-    met = rows.join(ids, F.col("row.doc_id").eqNullSafe(F.col("_kept")))
-    order = Window.partitionBy("_kept", "_worded").orderBy(F.xxhash64("row.text"))
+    key = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+    ids = component_ids(documents.select(key.alias("doc_id"), "text"), rule).select(
+        F.col("doc_id").alias("_key"), (F.col("n_shingles") > 0).alias("_worded"), "component_id")
+    own = documents.select(key.alias("_key"), F.col("doc_id").alias("_id")).dropDuplicates(["_key"])
+    least = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_key")))
+    kept = ids.join(own, "_key").groupBy("component_id", "_worded").agg(least.alias("_least")).select(F.col("_least._key").alias("_key"), "_worded")
+    met = documents.select(key.alias("_key"), F.struct(*documents.columns).alias("row")).join(kept, "_key")
+    order = Window.partitionBy("_key", "_worded").orderBy(F.xxhash64("row"))
     return met.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) | ~F.col("_worded")).select("row.*")

@@ -68,3 +68,13 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["node"]: r["label"] for r in rows} == {i: 0 for i in range(31)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_each_text_of_null_and_repeated_ids_stays(spark):
+    same = prose(1, 60)
+    rows = [(None, prose(k, 60), "aa", "s") for k in range(10, 16)] + [(None, prose(10, 60), "aa", "s")]
+    rows += [(5, same, "aa", "s"), (5, same, "aa", "s"), (7, same + " end", "aa", "s"), (None, same, "aa", "s")]
+    rows += [(7, prose(k, 60), "aa", "s") for k in range(20, 25)] + [(None, None, "aa", "s"), (None, "", "aa", "s")]
+    got = jaccard.representatives(documents(spark, rows), jaccard.Rule(size=5, percent=80)).collect()
+    want = [(None, prose(k, 60)) for k in range(10, 16)] + [(5, same)] + [(7, prose(k, 60)) for k in range(20, 25)] + [(None, None), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
