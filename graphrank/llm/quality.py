@@ -7,8 +7,8 @@ aggregation over all groups at once, so no group meets in one task. Documents wh
 Mahalanobis distance from their group's estimate is above a chi-square quantile are rejected.
 
 Cases: a null or empty text has no word and fails the base rules; null is a language and a
-source of its own; groups of fewer than ``MIN_ROWS`` documents are estimated together, by language and, if
-still too few, over all languages; fewer than ``MIN_ROWS`` there reject nothing. Equal documents have equal
+source of its own; groups of fewer than ``MIN_ROWS`` documents are judged by the estimate over their whole language and, if
+that is still too small, over the whole corpus; fewer than ``MIN_ROWS`` there reject nothing. Equal documents have equal
 verdicts; repeated rows count each.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphrank.llm.common import SPACES, materialize, words
@@ -72,12 +72,18 @@ def statistics(documents: DataFrame, keep: list[str], text: str = "text") -> Dat
 
 
 def _grouped(rows: DataFrame, language: Column, source: Column) -> DataFrame:
-    """Add ``group``: language and source, or what takes their place when they are too few."""
+    """Add ``group``, whose estimate judges a row, and ``groups``, whose estimates the row enters.
+
+    A group is language and source, the whole language of sources that are too few, or the whole corpus.
+    """
     named = rows.select("*", F.to_json(F.struct(language.alias("l"), source.alias("s"))).alias("_own"), F.to_json(F.struct(language.alias("l"))).alias("_wider"))
-    sizes = named.where(~F.col("base_failed")).groupBy("_own", "_wider").agg(F.count(F.lit(1)).alias("_n"))
-    pooled = F.sum(F.when(F.col("_n") < MIN_ROWS, F.col("_n"))).over(Window.partitionBy("_wider"))
-    group = F.when(F.col("_n") >= MIN_ROWS, F.col("_own")).when(pooled >= MIN_ROWS, F.col("_wider")).otherwise("all")
-    known = sizes.select("_own", group.alias("group"))
+    sizes = materialize(named.where(~F.col("base_failed")).groupBy("_own", "_wider").agg(F.count(F.lit(1)).alias("_n")))
+    wider = materialize(sizes.groupBy("_wider").agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least")))
+    few = wider.agg(F.coalesce(F.min("_all") < MIN_ROWS, F.lit(False)).alias("_few"))
+    own, whole = F.col("_n") >= MIN_ROWS, F.col("_all") >= MIN_ROWS
+    entered = F.array(F.when(own, F.col("_own")), F.when(whole & (F.col("_least") < MIN_ROWS), F.col("_wider")), F.when(F.col("_few"), F.lit("all")))
+    known = sizes.join(wider, "_wider").crossJoin(F.broadcast(few)).select(
+        "_own", F.when(own, F.col("_own")).when(whole, F.col("_wider")).otherwise("all").alias("group"), F.array_compact(entered).alias("groups"))
     return named.join(known, "_own", "left").withColumn("group", F.coalesce("group", F.lit("all"))).drop("_own", "_wider")
 
 
@@ -146,7 +152,7 @@ def verdicts(documents: DataFrame, keep: list[str], language: str = "lang", sour
     # stored first: a filter on the counts would move into the expressions over words and compute them again
     read = materialize(statistics(documents.withColumns({"_language": F.col(language), "_source": F.col(source)}), [*keep, "_language", "_source"]))
     grouped = materialize(_grouped(read, F.col("row._language"), F.col("row._source")))
-    sound = grouped.where(~F.col("base_failed")).select("group", *STATISTICS)
+    sound = grouped.where(~F.col("base_failed")).select(F.explode("groups").alias("group"), *STATISTICS)
     estimates = robust_estimates(sound)
     far = _distances(grouped, estimates, STATISTICS).join(estimates.select("group", "rows", "scale"), "group", "left")
     distance = F.when(F.col("rows") >= MIN_ROWS, F.col("distance") / F.col("scale"))

@@ -63,3 +63,12 @@ def test_repetition_alone_rejects(spark):
     got = {r["row"]["doc_id"]: r for r in quality.verdicts(documents(spark, rows), ["doc_id"]).collect()}
     assert all(got[i]["kept"] for i in range(300))
     assert [(got[i]["base_failed"], got[i]["kept"]) for i in (1000, 1001)] == [(False, False)] * 2
+
+
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rows = [(i, prose(i, 80 + i % 50), "aa", "s") for i in range(120)]
+    for i, (lang, source) in enumerate((("aa", "rare"), ("bb", "rare"), (None, None))):
+        rows.append((1000 + i, " ".join(f"{w}***" for w in prose(i, 90).split()), lang, source))
+        rows.append((2000 + i, prose(500 + i, 90), lang, source))
+    got = {r["row"]["doc_id"]: r["kept"] for r in quality.verdicts(documents(spark, rows), ["doc_id"]).collect()}
+    assert got == {i: not 1000 <= i < 2000 for i in got} and len(got) == len(rows)
