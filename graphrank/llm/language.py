@@ -27,7 +27,7 @@ from graphrank.llm.common import crc_share, pieces, ship
 BUCKETS = 1 << 15
 MAX_ORDER = 3
 UNKNOWN = "und"
-#: Texts per language that fit the model, about; which ones is decided by a hash of text and language.
+#: Distinct texts per language that fit the model, about; which ones is decided by a hash of text and language.
 FIT_ROWS = 4096
 #: The matrix that is broadcast has at most this many columns (64 MB).
 MAX_LANGUAGES = 512
@@ -101,23 +101,24 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS, buckets: int = BUCKETS, smoothing: float = 0.1) -> LanguageModel:
-    """Count n-grams per language over about ``rows`` texts of each language.
+    """Count n-grams per language over about ``rows`` distinct texts of each language.
 
-    Texts are drawn by a hash of the text, at the rate ``rows`` / (texts of the
-    language). Priors come from all rows. Only bucket counts reach the driver.
+    Texts are drawn by a hash of the text, at the rate ``rows`` / (distinct texts of the
+    language), and each counts once however many copies it has. Priors come from all rows. Only bucket counts reach the driver.
     """
     spark = labelled.sparkSession
     ship(spark)
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).limit(MAX_LANGUAGES + 1).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would be too large to broadcast")
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((buckets, 0), dtype=np.float32), np.zeros(0))
-    rates = spark.createDataFrame([(n, rows / sizes[n]) for n in names], "lang string, rate double")
+    rates = spark.createDataFrame([(r["lang"], rows / max(1, r["texts"])) for r in found], "lang string, rate double")
     draw = F.pmod(F.xxhash64("text", "lang", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text")
+    drawn = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text", F.xxhash64("text").alias("hash")).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -163,7 +164,9 @@ def predict(documents: DataFrame, model: LanguageModel, keep: list[str], text: s
 
 
 def accepted(documents: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows, in all their columns, whose language is known with a score of ``least`` or more."""
+    """The rows, in all their columns, whose language is known with a score of ``least`` or more; with a letter if the model has no language."""
+    if not model.languages:
+        return documents.where(F.col(text).cast("string").rlike("\\p{L}"))
     identify = _identifier(documents, model)
     found = documents.select(F.struct(*documents.columns).alias("_row"), identify(F.col(text).cast("string")).alias("_found"))
     return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select("_row.*")

@@ -31,3 +31,16 @@ def test_without_rows_or_labels(spark):
 def test_ngrams_hold_no_break_inside():
     one, two, three = (len(i) for i, _ in language.features(["ab cd"]))
     assert (one, two, three) == (4, 6, 4)
+
+
+def test_copies_and_no_labels(spark):
+    rows = [(i, prose(7, 40, "aa"), "aa", "s") for i in range(400)] + [(1000 + i, prose(i, 40, "bb"), "bb", "s") for i in range(40)]
+    for seed in range(3):  # a few distinct texts among many copies
+        rows += [(2000 + seed * 100 + i, prose(50 + seed, 40, "aa"), "aa", "s") for i in range(50)]
+    model = language.fit(documents(spark, rows), rows=8)
+    spread = model.log_probability.max(axis=0) - model.log_probability.min(axis=0)
+    assert (spread > 1).all()
+    fresh = documents(spark, [(i, prose(3000 + i, 30, lang), lang, "s") for i in range(20) for lang in ("aa", "bb")])
+    assert all(r["lang"] == r["lang_pred"] for r in language.predict(fresh, model, ["lang"]).collect())
+    none = documents(spark, [(1, "abc", None, "s"), (2, "12 3", None, "s"), (3, None, None, "s"), (4, "é", None, "s")])
+    assert sorted(r["doc_id"] for r in language.accepted(none, language.fit(none)).collect()) == [1, 4]
