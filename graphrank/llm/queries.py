@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphrank.llm import ann, html_extract, jaccard, language, licenses, line_dedup, mixing, packing, quality, toxicity
+from graphrank.llm import ann, html_extract, jaccard, language, licenses, line_dedup, mixing, packing, periodic, quality, spelling, toxicity
 from graphrank.llm.common import crc_share, materialize
 from graphrank.llm.registry import query, read
 from graphrank.llm.sql import OP2, OP5
@@ -86,3 +86,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(read(spark, sf_dir, "documents"), planted=True).drop("runs")
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(read(spark, sf_dir, "documents"), least_letters=6, least_n=5, slips=199)
+    return spelling.variants(words, factor=5).select("word", "form", "root", "n", "n_near", "form_n")
