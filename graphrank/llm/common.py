@@ -7,7 +7,10 @@ import tempfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,8 @@ SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["SPACES", "SPACE_PATTERN", "WORD_PATTERN", "ascii_lower", "crc_share", "materialize", "pieces",
-           "ship", "shuffle_partitions", "words"]
+__all__ = ["SPACES", "SPACE_PATTERN", "WORD_PATTERN", "ascii_lower", "crc_share", "materialize", "numbered_words", "pieces",
+           "ship", "shuffle_partitions", "text_parts", "words"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -72,3 +75,23 @@ def pieces(batches: Iterable[pd.DataFrame], text: str, chars: int = 1 << 20) ->
         else:
             for _, rows in batch.groupby(part, sort=False):
                 yield rows
+
+
+def text_parts(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``size`` bytes in the given column, or one row of more. Null values count nothing."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)) // size
+    _, first, n = np.unique(group, return_index=True, return_counts=True)
+    for at, rows in zip(first.tolist(), n.tolist(), strict=True):
+        yield batch.slice(at, rows)
+
+
+def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word of all texts in a row, words per text). Null texts have none."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = split.flatten()
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(real)])
+    sizes = np.diff(before[offsets - offsets[0]])
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), sizes

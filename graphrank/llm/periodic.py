@@ -30,14 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import ship
+from graphrank.llm.common import numbered_words, ship, text_parts
 
 #: Periods below are scanned directly; also the window of the first scale.
 SHORTEST = 16
 #: Least words of a run, and least number of its periods.
 LEAST_WORDS, LEAST_TIMES = 6, 4
-#: Bytes of text of one batch.
-_TOGETHER = 1 << 21
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,26 +206,6 @@ def plant(words: np.ndarray, doc_id: int) -> np.ndarray:
     return changed
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of about ``_TOGETHER`` bytes of text, or one row of more."""
-    group = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()) // _TOGETHER
-    _, first, n = np.unique(group, return_index=True, return_counts=True)
-    for at, rows in zip(first.tolist(), n.tolist(), strict=True):
-        yield batch.slice(at, rows)
-
-
-def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, number of each word of all texts in a row, words per text)."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat = split.flatten()
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    before = np.concatenate([[0], np.cumsum(real)])
-    sizes = np.diff(before[offsets - offsets[0]])
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), sizes
-
-
 _RESULT = ("n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string, "
            "runs array<struct<start: long, length: long, period: long>>")
 
@@ -241,7 +219,7 @@ def periodic_runs(documents: DataFrame, planted: bool = False, collapsed: bool =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _batches(whole):
+            for batch in text_parts(whole, 1):
                 distinct, words, sizes = numbered_words(batch.column(1))
                 ends = np.cumsum(sizes)
                 if planted:

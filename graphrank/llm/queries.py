@@ -8,14 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphrank.llm import ann, html_extract, jaccard, language, licenses, line_dedup, mixing, packing, periodic, quality, spelling, toxicity
+from graphrank.llm import ann, html_extract, jaccard, language, licenses, line_dedup, lm, mixing, packing, periodic, quality, spelling, toxicity
 from graphrank.llm.common import crc_share, materialize
+from graphrank.llm.attention import END
 from graphrank.llm.registry import query, read
 from graphrank.llm.sql import OP2, OP5
+from graphrank.llm.subwords import Subwords
 
 #: Weights of the mix by place of the source, their change until the end of training, words to take, most passes.
 MIX = {"weights": (5, 2, 1), "tilt": (-0.5, 0.0, 0.5), "share": 1.5, "passes": 2.0}
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_definition(name: str = TOKENIZER) -> str:
@@ -88,6 +91,13 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licences(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subwords = Subwords.read(public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END)
+    found = lm.score_documents(read(spark, sf_dir, "documents"), crc_share(F.col("doc_id"), 10) != 0, subwords)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query()
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(read(spark, sf_dir, "documents"), planted=True).drop("runs")
