@@ -87,7 +87,10 @@ def negatives(name: str, stage: str, heads: str, tails: str, wanted: str, blocke
 
     heads and tails give (edge_type, id), wanted (edge_type, n), blocked (edge_type, src, dst).
     """
-    s = f"CAST({seed} AS VARCHAR)"
+    def move(k: int, half: str) -> str:
+        digest = f"md5(concat_ws('|', CAST({seed} AS VARCHAR), '{stage}', edge_type, '{k}', CAST({half} AS VARCHAR)))"
+        return hexnum(digest)
+
     return f"""
     {name}_h AS MATERIALIZED (SELECT edge_type, id, row_number() OVER (PARTITION BY edge_type ORDER BY id) - 1 AS idx
         FROM (SELECT DISTINCT edge_type, id FROM ({heads}))),
@@ -98,11 +101,15 @@ def negatives(name: str, stage: str, heads: str, tails: str, wanted: str, blocke
         JOIN (SELECT edge_type, count(*) AS c FROM {name}_h GROUP BY 1) s USING (edge_type)
         JOIN (SELECT edge_type, count(*) AS c FROM {name}_t GROUP BY 1) t USING (edge_type)
         LEFT JOIN (SELECT edge_type, count(*) AS c FROM {name}_b GROUP BY 1) b USING (edge_type) WHERE w.n > 0),
-    {name}_d AS MATERIALIZED (SELECT *, CAST(s AS HUGEINT) * t AS pairs, md5(concat_ws('|', {s}, '{stage}', edge_type, 'walk')) AS d FROM {name}_z),
-    {name}_w AS MATERIALIZED (SELECT *, CAST({hexnum('d', 16)} AS HUGEINT) % pairs AS start,
-        (SELECT min(x) FROM (SELECT CAST({hexnum('d', 1)} AS HUGEINT) % pairs + unnest(range(10000)) AS x) WHERE gcd(x, pairs) = 1) AS step FROM {name}_d),
-    {name}_j AS MATERIALIZED (SELECT edge_type, t, n, j, (step * j + start) % pairs AS place
-        FROM (SELECT *, CAST(unnest(range(CAST(least(pairs, n + f) AS BIGINT))) AS HUGEINT) AS j FROM {name}_w)),
+    {name}_d AS MATERIALIZED (SELECT *, s * t AS pairs, CAST(ceil(sqrt(CAST(s * t AS DOUBLE))) AS BIGINT) AS l FROM {name}_z),
+    {name}_w AS MATERIALIZED (SELECT *, (pairs + l - 1) // l AS r FROM {name}_d),
+    {name}_0 AS MATERIALIZED (SELECT edge_type, t, n, pairs, l, r, j, j // r AS x, j % r AS y
+        FROM (SELECT *, unnest(range(least(l * r, n + f + l * r - pairs))) AS j FROM {name}_w)),
+    {name}_1 AS MATERIALIZED (SELECT * REPLACE ((x + {move(0, 'y')} % l) % l AS x) FROM {name}_0),
+    {name}_2 AS MATERIALIZED (SELECT * REPLACE ((y + {move(1, 'x')} % r) % r AS y) FROM {name}_1),
+    {name}_3 AS MATERIALIZED (SELECT * REPLACE ((x + {move(2, 'y')} % l) % l AS x) FROM {name}_2),
+    {name}_4 AS MATERIALIZED (SELECT * REPLACE ((y + {move(3, 'x')} % r) % r AS y) FROM {name}_3),
+    {name}_j AS MATERIALIZED (SELECT edge_type, t, n, j, x * r + y AS place FROM {name}_4 WHERE x * r + y < pairs),
     {name}_p AS MATERIALIZED (SELECT j.edge_type, j.j, h.id AS src, t.id AS dst FROM {name}_j j
         JOIN {name}_h h ON h.edge_type = j.edge_type AND h.idx = j.place // j.t
         JOIN {name}_t t ON t.edge_type = j.edge_type AND t.idx = j.place % j.t),

@@ -1,35 +1,36 @@
-"""Negative links: allowed sources x targets minus forbidden pairs, the first n of one seeded walk.
+"""Negative links: allowed sources x targets minus forbidden pairs, the first n in the order of a keyed permutation.
 
-All pairs of a relation are numbered, and a walk ``(a * j + b) mod pairs`` with ``a`` prime to their
-number visits each once. Forbidden pairs are skipped. At most as many positions are skipped as there are
-forbidden pairs, so ``n`` pairs are found within ``n + forbidden`` steps, whatever the size of the pair space, and
-a larger sample begins with the smaller one.
+All pairs of a relation are numbered, and a Feistel network permutes the numbers: its rounds are keyed by seed, stage and
+relation, so the order is a random one, each pair comes once, and nothing is listed but the steps that are taken. Forbidden
+pairs are skipped. Steps are taken in chunks of about as many as the share of forbidden pairs lets expect, and
+go on only for relations that are still short. A larger sample begins with the smaller one.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 from functools import reduce
-from math import gcd
+from math import ceil, isqrt
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.operators.ordering import dense_index, stable_hash
+from graphrank.operators.ordering import dense_index, hash_number, stable_hash
 from graphrank.plans.lineage import materialize
 
 STRATEGIES = ("random", "degree_matched", "hard")
 _CHUNK = 4096
-_LONG = 1 << 62
+#: Rounds of the permutation; steps of a chunk as a multiple of the expected ones.
+ROUNDS, _SLACK = 4, 1.1
+#: Thresholds that are counted in one pass.
+_FAN = 32
 
 
-def walk(edge_type: str, pairs: int, seed: int, stage: str) -> tuple[int, int]:
-    """Step and start of the walk over ``pairs`` numbers, from the md5 of seed, stage and relation."""
-    digest = hashlib.md5(f"{seed}|{stage}|{edge_type}|walk".encode()).hexdigest()
-    step, start = int(digest[:15], 16) % pairs, int(digest[15:30], 16) % pairs
-    while gcd(step, pairs) != 1:
-        step += 1
-    return step, start
+def halves(pairs: int) -> tuple[int, int]:
+    """Sizes of the two halves of the permutation: about equal, their product no less than ``pairs``."""
+    left = isqrt(pairs - 1) + 1
+    return left, -(-pairs // left)
 
 
 def _counts(df: DataFrame) -> dict[str, int]:
@@ -41,16 +42,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _visited(spark, edge_type: str, size: tuple[int, int], steps: int, seed: int, stage: str) -> DataFrame:
-    """The first ``steps`` pairs of the walk as ``(edge_type, _j, _s, _d)``."""
-    pairs = size[0] * size[1]
-    step, start = walk(edge_type, pairs, seed, stage)
-    if step * steps + start < _LONG:
-        place = F.expr(f"({step}L * id + {start}L) % {pairs}L")
-    else:  # products beyond a long
-        place = F.expr(f"CAST((CAST({step} AS DECIMAL(19, 0)) * CAST(id AS DECIMAL(18, 0)) + {start}) % {pairs} AS BIGINT)")
-    return spark.range(steps).select(F.lit(edge_type).alias("edge_type"), F.col("id").alias("_j"), place.alias("_place")).select(
-        "edge_type", "_j", F.expr(f"_place div {size[1]}").alias("_s"), (F.col("_place") % size[1]).alias("_d"))
+def _visited(spark, edge_type: str, size: tuple[int, int], steps: tuple[int, int], seed: int, stage: str) -> DataFrame:
+    """The pairs of steps ``[steps[0], steps[1])`` as ``(edge_type, _j, _s, _d)``.
+
+    A step's number is cut in two halves; each round moves one half by a hash of the other, which can be undone, so the
+    whole is one-to-one. Numbers from ``pairs`` on, fewer than the root of all, are no pairs.
+    """
+    left, right = halves(size[0] * size[1])
+    j = spark.range(*steps).select(F.col("id").alias("_j"))
+    j = j.select("_j", F.expr(f"_j div {right}").alias("_x"), (F.col("_j") % right).alias("_y"))
+    for k in range(ROUNDS):
+        name, other, width = ("_x", "_y", left) if k % 2 == 0 else ("_y", "_x", right)
+        moved = hash_number(stable_hash(seed, stage, edge_type, k, F.col(other))) % width
+        j = j.withColumn(name, (F.col(name) + moved) % width)
+    placed = j.select("_j", (F.col("_x") * right + F.col("_y")).alias("_place")).where(F.col("_place") < size[0] * size[1])
+    return placed.select(F.lit(edge_type).alias("edge_type"), "_j", F.expr(f"_place div {size[1]}").alias("_s"), (F.col("_place") % size[1]).alias("_d"))
 
 
 def _ends(index: DataFrame, name: str, position: str) -> DataFrame:
@@ -82,11 +88,11 @@ def sample_negatives(
     ``sources`` and ``targets`` are ``(edge_type, id)``; ``forbidden`` is
     ``(edge_type, src, dst)``. No result row is forbidden or repeated.
 
-    * ``random``: first of the walk.
+    * ``random``: first of the permutation.
     * ``degree_matched``: pairs of highest degree sum first (``degrees`` is
       ``(edge_type, side, id, degree)``, side ``src`` or ``dst``).
     * ``hard``: the given ``hard_pairs`` when there are enough of them; otherwise
-      they compete with all other pairs of the walk, or go first with ``prefer_hard``.
+      they compete with all other pairs, or go first with ``prefer_hard``.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}; one of {STRATEGIES}")
@@ -125,60 +131,130 @@ def sample_negatives(
 
     head_index = dense_index(heads, ["edge_type"], [F.col("id")])
     tail_index = dense_index(tails, ["edge_type"], [F.col("id")])
-    head_counts, tail_counts, taken = _counts(head_index), _counts(tail_index), _counts(blocked)
+    head_counts, tail_counts = _counts(head_index), _counts(tail_index)
     sizes = {e: (head_counts.get(e, 0), tail_counts.get(e, 0)) for e in wanted}
     open_ = {e: n for e, n in wanted.items() if sizes[e][0] * sizes[e][1] > 0}
+    if not open_:
+        return empty
     head_ends, tail_ends = _ends(head_index, "src", "_s"), _ends(tail_index, "dst", "_d")
     # pairs are compared as positions; only the chosen ones are turned back into ids
-    blocked_at = blocked.join(head_ends, ["edge_type", "src"]).join(tail_ends, ["edge_type", "dst"]).select(
+    blocked_at = materialize(blocked.join(head_ends, ["edge_type", "src"]).join(tail_ends, ["edge_type", "dst"]).select(
         "edge_type", "_s", "_d"
-    )
-    visited = [
-        _visited(spark, e, sizes[e], min(sizes[e][0] * sizes[e][1], n + taken.get(e, 0)), seed, stage) for e, n in open_.items()
-    ]
-    if not visited:
-        return empty
-    eligible = _union(visited).join(blocked_at, ["edge_type", "_s", "_d"], "left_anti")
-    chosen = _first(eligible, open_, "_j", ("_s", "_d"))
+    ).distinct())
+    chosen = _first(_walked(blocked_at, sizes, open_, seed, stage), open_, "_j", ("_s", "_d"))
     return chosen.join(head_ends, ["edge_type", "_s"]).join(tail_ends, ["edge_type", "_d"]).select("edge_type", "src", "dst")
 
 
+def _walked(blocked_at: DataFrame, sizes: dict[str, tuple[int, int]], wanted: dict[str, int], seed: int, stage: str) -> DataFrame:
+    """Eligible pairs ``(edge_type, _j, _s, _d)`` of the steps that are needed for ``wanted`` pairs, or of all steps."""
+    spark = blocked_at.sparkSession
+    taken = _counts(blocked_at)
+    ends = {e: left * right for e, (left, right) in ((e, halves(a * b)) for e, (a, b) in sizes.items() if e in wanted)}
+    free = {e: sizes[e][0] * sizes[e][1] - taken.get(e, 0) for e in wanted}
+    need = {e: min(n, free[e]) for e, n in wanted.items()}
+    at, parts = dict.fromkeys(wanted, 0), []
+    while short := {e: n for e, n in need.items() if n > 0 and at[e] < ends[e]}:
+        to = {e: min(ends[e], at[e] + ceil(_SLACK * n * ends[e] / free[e]) + 64) for e, n in short.items()}
+        steps = _union([_visited(spark, e, sizes[e], (at[e], to[e]), seed, stage) for e in short])
+        got = materialize(steps.join(blocked_at, ["edge_type", "_s", "_d"], "left_anti").select("edge_type", "_j", "_s", "_d"))
+        parts.append(got)
+        for e, n in _counts(got).items():
+            need[e] -= n
+        at |= to
+    return _union(parts) if parts else blocked_at.select("edge_type", F.lit(0).cast("bigint").alias("_j"), "_s", "_d").limit(0)
+
+
+def _largest(low: int, high: int, counts: Callable[[list[int]], list[int]], n: int) -> int:
+    """The largest number in [low, high] that at least ``n`` are counted from; ``low`` must do. ``_FAN`` numbers are tried per pass."""
+    while low < high:
+        tried = sorted({low + -(-(high - low) * k // _FAN) for k in range(1, _FAN + 1)})
+        enough = [t for t, found in zip(tried, counts(tried), strict=True) if found >= n]
+        low, high = max(enough, default=low), min((t for t in tried if t not in enough), default=high + 1) - 1
+    return low
+
+
+def _histogram(ranked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(degrees, ascending; nodes of that degree or more). L links have at most sqrt(2 L) distinct degrees."""
+    found = sorted((r["degree"], r["n"]) for r in ranked.groupBy("degree").agg(F.count(F.lit(1)).alias("n")).collect())
+    degree = np.array([d for d, _ in found], dtype=np.int64)
+    return degree, np.cumsum(np.array([n for _, n in found], dtype=np.int64)[::-1])[::-1]
+
+
+def _region(row: DataFrame, col: DataFrame, blocked_at: DataFrame, n: int) -> DataFrame:
+    """Rows with ``_reach``: their pairs with the first ``_reach`` columns hold the first ``n`` eligible pairs.
+
+    Pairs are counted, not listed: the least degree sum from the two histograms, then, among
+    the pairs of just that sum, the largest product of ranks from one pass over the rows a step. ``blocked_at`` is
+    (_sum, _area) of the forbidden pairs.
+    """
+    (row_degree, row_many), (col_degree, col_many) = _histogram(row), _histogram(col)
+    row_count = row_many - np.append(row_many[1:], 0)
+
+    def columns_from(degree: np.ndarray) -> np.ndarray:
+        """Number of columns of at least these degrees."""
+        return np.append(col_many, 0)[np.searchsorted(col_degree, degree)]
+
+    def blocked(condition: Callable[[int], Column], tried: list[int]) -> list[int]:
+        return list(blocked_at.agg(*[F.count_if(condition(t)) for t in tried]).first())
+
+    def eligible_from(sums: list[int]) -> list[int]:
+        all_ = [int((row_count * columns_from(t - row_degree)).sum()) for t in sums]
+        return [a - b for a, b in zip(all_, blocked(lambda t: F.col("_sum") >= t, sums), strict=True)]
+
+    if eligible_from([0])[0] <= n:
+        return row.withColumn("_reach", F.lit(int(col_many[0])).cast("bigint"))
+    least = _largest(0, int(row_degree[-1] + col_degree[-1]), eligible_from, n)
+    rest = n - eligible_from([least + 1])[0]
+    spans = row.sparkSession.createDataFrame(
+        list(zip(row_degree.tolist(), columns_from(least + 1 - row_degree).tolist(), columns_from(least - row_degree).tolist(), strict=True)),
+        "degree bigint, _above bigint, _with bigint")
+    placed = materialize(row.join(spans, "degree"))
+
+    def reach(area: int) -> Column:
+        return F.least(F.col("_with"), F.expr(f"{area}L div (idx + 1)"))
+
+    def missing(negated: list[int]) -> list[int]:
+        """For areas -t: eligible pairs of the least sum up to that area."""
+        listed = placed.agg(*[F.sum(F.greatest(reach(-t) - F.col("_above"), F.lit(0))) for t in negated]).first()
+        return [a - b for a, b in zip(listed, blocked(lambda t: (F.col("_sum") == least) & (F.col("_area") <= -t), negated), strict=True)]
+
+    area = -_largest(-int(row_many[0] * col_many[0]), -1, missing, rest)
+    return placed.select(*row.columns, F.greatest("_above", reach(area)).alias("_reach"))
+
+
 def _highest_degree_sums(
     heads: DataFrame, tails: DataFrame, blocked: DataFrame, wanted: dict[str, int], seed: int, stage: str,
     degrees: DataFrame,
 ) -> DataFrame:
-    """First n eligible pairs by degree sum, without enumerating the pair space.
+    """First n eligible pairs by degree sum, listing little more than those.
 
-    With both sides ranked by degree, the pairs (i', j') with i' <= i and
-    j' <= j all have at least the degree sum of (i, j). So (i, j) can only be
-    among the first n + f (f forbidden) if (i+1)(j+1) <= n + f, and the pairs
-    under that hyperbola number about (n+f) ln(n+f). Equal sums are ordered by
-    (i+1)(j+1), then by hash; ranks of equal degree are in hash order.
+    Both sides are ranked by degree, equal degrees in hash order. Equal sums are ordered by (i+1)(j+1) of the
+    ranks, then by hash. How far each row reaches is found by counting (see ``_region``), so
+    what is listed are the n pairs, forbidden pairs among them, and ties of the last product.
     """
-    taken = _counts(blocked)
-    limit = {e: n + taken.get(e, 0) for e, n in wanted.items()}
-
     def ranked(nodes: DataFrame, side: str) -> DataFrame:
         known = degrees.where(F.col("side") == side).select("edge_type", "id", "degree")
         scored = nodes.join(known, ["edge_type", "id"], "left").select(
-            "edge_type", "id", F.coalesce("degree", F.lit(0)).alias("degree")
+            "edge_type", "id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree")
         )
         tie = stable_hash(seed, side, F.col("edge_type"), F.col("id"))
-        return dense_index(scored.withColumn("_tie", tie), ["edge_type"], [F.desc("degree"), F.col("_tie")])
-
-    bound = F.col("edge_type")
-    caps = F.lit(None).cast("bigint")
-    for e, cap in limit.items():
-        caps = F.when(bound == e, F.lit(cap).cast("bigint")).otherwise(caps)
-    row = ranked(heads, "src").withColumn("_cap", caps).where("idx < _cap")
-    col = ranked(tails, "dst")
-    widths = col.groupBy("edge_type").agg(F.count(F.lit(1)).alias("_width"))
-    reach = F.least(F.expr("_cap div (idx + 1)"), F.col("_width"))
+        return materialize(dense_index(scored.withColumn("_tie", tie), ["edge_type"], [F.desc("degree"), F.col("_tie")]).drop("_tie"))
+
+    row, col = ranked(heads, "src"), ranked(tails, "dst")
+    sides = [d.select("edge_type", F.col("id").alias(c), F.col("degree").alias(f"_{c}_degree"), F.col("idx").alias(f"_{c}_idx")) for d, c in ((row, "src"), (col, "dst"))]
+    blocked_at = materialize(blocked.distinct().join(sides[0], ["edge_type", "src"]).join(sides[1], ["edge_type", "dst"]).select(
+        "edge_type", (F.col("_src_degree") + F.col("_dst_degree")).alias("_sum"), ((F.col("_src_idx") + 1) * (F.col("_dst_idx") + 1)).alias("_area")))
+    present = set(_counts(row)) & set(_counts(col))
+    parts = []
+    for e, n in wanted.items():
+        if e in present:
+            of = F.col("edge_type") == e
+            parts.append(_region(row.where(of), col.where(of), blocked_at.where(of), n))
+    if not parts:
+        return row.select("edge_type", F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
     # the first rows reach far: cut them into chunks and spread those before listing the pairs
     chunks = (
-        row.join(widths, "edge_type")
-        .withColumn("_reach", reach)
-        .where("_reach > 0")
+        _union(parts).where("_reach > 0")
         .withColumn("_from", F.explode(F.expr(f"sequence(0L, _reach - 1, {_CHUNK}L)")))
         .repartition("edge_type", "idx", "_from")
     )
@@ -198,5 +274,5 @@ def _highest_degree_sums(
     placed = dense_index(pairs, ["edge_type"], [F.desc("_sum"), F.col("_area"), F.col("_digest")], "_place")
     want = F.lit(None).cast("bigint")
     for e, n in wanted.items():
-        want = F.when(bound == e, F.lit(n).cast("bigint")).otherwise(want)
+        want = F.when(F.col("edge_type") == e, F.lit(n).cast("bigint")).otherwise(want)
     return placed.where(F.col("_place") < want).select("edge_type", "src", "dst")

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +116,57 @@ def test_larger_samples_begin_with_smaller_ones(frame):
         got = {tuple(r) for r in N.sample_negatives(heads, heads, blocked, {"r": n}, 13).collect()}
         assert len(got) == min(n, 132) and before <= got and all(s != d for _, s, d in got)
         before = got
+
+
+@pytest.mark.parametrize(("heads", "tails", "n"), [(300, 400, 400), (3000, 40, 3000), (40, 25, 500)])
+def test_draws_are_spread_like_chance(frame, heads, tails, n):
+    """Counts per end have the spread of independent draws, neither a lattice nor clusters."""
+    sides = [frame([("r", f"{i}") for i in range(size)], "edge_type string, id string") for size in (heads, tails)]
+    none = frame([], "edge_type string, src string, dst string")
+    ratios = {1: [], 2: []}
+    for seed in range(4):
+        got = N.sample_negatives(*sides, none, {"r": n}, seed).collect()
+        assert len({tuple(r) for r in got}) == n
+        for end, size in ((1, heads), (2, tails)):
+            counts = Counter(r[end] for r in got)
+            mean = n / size
+            spread = sum((counts[f"{i}"] - mean) ** 2 for i in range(size)) / size
+            other = heads * tails / size
+            chance = mean * (1 - 1 / size) * (heads * tails - n) / (heads * tails - 1)  # without replacement
+            assert other >= 1
+            ratios[end].append(spread / chance)
+    for end, size in ((1, heads), (2, tails)):
+        mean_ratio = sum(ratios[end]) / len(ratios[end])
+        assert abs(mean_ratio - 1) < 5 * (2 / (size * len(ratios[end]))) ** 0.5
+
+
+def test_dense_space_is_walked_on(frame):
+    """Nearly all pairs are forbidden, and all that is left is found."""
+    ends = frame([("r", f"{i}") for i in range(60)], "edge_type string, id string")
+    free = {(f"{i}", f"{(7 * i) % 60}") for i in range(60)}
+    taken = frame([("r", f"{i}", f"{j}") for i in range(60) for j in range(60) if (f"{i}", f"{j}") not in free], "edge_type string, src string, dst string")
+    assert {tuple(r)[1:] for r in N.sample_negatives(ends, ends, taken, {"r": 100}, 3).collect()} == free
+    some = {tuple(r)[1:] for r in N.sample_negatives(ends, ends, taken, {"r": 7}, 3).collect()}
+    assert len(some) == 7 and some <= free
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 200, 777, 10_000])
+def test_degree_sums_against_a_full_sort(frame, n):
+    rng = random.Random(n)
+    heads = {f"h{i}": rng.choice([1, 1, 1, 2, 3, 50]) for i in range(30)}
+    tails = {f"t{i}": rng.choice([0, 1, 1, 4, 9]) for i in range(40)}
+    blocked = {(rng.choice(list(heads)), rng.choice(list(tails))) for _ in range(300)}
+    degrees = [("r", "src", k, d) for k, d in heads.items()] + [("r", "dst", k, d) for k, d in tails.items()]
+
+    def ranks(side, nodes):
+        order = sorted(nodes, key=lambda k: (-nodes[k], hashlib.md5(f"3|{side}|r|{k}".encode()).hexdigest()))
+        return {k: i + 1 for i, k in enumerate(order)}
+
+    row, col = ranks("src", heads), ranks("dst", tails)
+    pairs = [(h, t) for h in heads for t in tails if (h, t) not in blocked]
+    pairs.sort(key=lambda p: (-heads[p[0]] - tails[p[1]], row[p[0]] * col[p[1]], hashlib.md5(f"3|s|r|{p[0]}|{p[1]}".encode()).hexdigest()))
+    got = N.sample_negatives(
+        frame([("r", h) for h in heads], "edge_type string, id string"), frame([("r", t) for t in tails], "edge_type string, id string"),
+        frame([("r", *p) for p in blocked], "edge_type string, src string, dst string"), {"r": n}, 3, "s", "degree_matched",
+        frame(degrees, "edge_type string, side string, id string, degree int"))
+    assert {tuple(r)[1:] for r in got.collect()} == set(pairs[:n])
