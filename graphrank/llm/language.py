@@ -19,10 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import crc_share, pieces, ship
+from graphrank.llm.common import crc_share, pieces, ship, text_parts
 
 BUCKETS = 1 << 15
 MAX_ORDER = 3
@@ -167,9 +168,21 @@ def accepted(documents: DataFrame, model: LanguageModel, least: float = 0.5, tex
     """The rows, in all their columns, whose language is known with a score of ``least`` or more; with a letter if the model has no language."""
     if not model.languages:
         return documents.where(F.col(text).cast("string").rlike("\\p{L}"))
-    identify = _identifier(documents, model)
-    found = documents.select(F.struct(*documents.columns).alias("_row"), identify(F.col(text).cast("string")).alias("_found"))
-    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select("_row.*")
+    ship(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index(text)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for whole in batches:
+            texts = whole.column(place).cast(pa.string())
+            for part in text_parts(pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)), pa.int64())], names=["text", "at"]), 0, 1 << 20):
+                number, score = known.score([t or "" for t in part.column(0).to_pylist()])
+                keep = part.column(1).filter(pa.array((number >= 0) & (score >= least)))
+                if len(keep):
+                    yield whole.take(keep)
+
+    return documents.mapInArrow(pick, documents.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from graphrank.llm.common import materialize, ship, shuffle_partitions
 
-#: Words, and stems of words, whose ids a Python worker remembers, and the longest of them.
-_WORDS, _STEMS, _LONGEST = 1 << 17, 1 << 19, 48
+#: Words, and stems of words, whose ids a task remembers, and the longest of them: some 30 MB at most.
+_WORDS, _STEMS, _LONGEST = 1 << 16, 1 << 17, 48
 #: Characters of text that are tokenized together.
 _TOGETHER = 1 << 21
+#: What a Python worker holds: the tokenizer, and the words of the task that runs.
 _worker: dict = {}
 
 
@@ -122,7 +123,7 @@ def tokenized_pieces(documents: DataFrame, definition: str, capacity: int, end_i
     shared = spark.sparkContext.broadcast(definition)
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, piece, length, crc = [], [], [], []
             texts = batch.column(1)
@@ -146,6 +147,14 @@ def tokenized_pieces(documents: DataFrame, definition: str, capacity: int, end_i
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces_of(batches)
+        finally:  # workers live on after a task; its words would stay in their memory
+            for known in (_worker.get("words"), _worker.get("stems")):
+                if known:
+                    known.clear()
+
     kind = documents.schema[doc_id].dataType.simpleString()
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
