@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import shutil
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +25,7 @@ SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["SPACES", "SPACE_PATTERN", "WORD_PATTERN", "ascii_lower", "crc_share", "materialize", "numbered_words", "pieces",
+__all__ = ["SPACES", "SPACE_PATTERN", "WORD_PATTERN", "ascii_lower", "crc_share", "lean", "materialize", "numbered_words", "pieces",
            "ship", "shuffle_partitions", "text_parts", "words"]
 
 
@@ -95,3 +97,22 @@ def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     sizes = np.diff(before[offsets - offsets[0]])
     coded = flat.filter(pa.array(real)).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), sizes
+
+
+def lean(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over batches, whose task gives its memory back at the end.
+
+    Python workers live on for the next tasks, and two kinds of functions have workers of their own: what the
+    allocators keep of a task's arrays counts against the executor as long as they do.
+    """
+    @functools.wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim is not None:
+                trim(0)
+
+    return run

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import materialize, ship, shuffle_partitions
+from graphrank.llm.common import lean, materialize, ship, shuffle_partitions
 from graphrank.llm.components import components
 
 #: Characters that are hashed together, and n-grams of a task that are counted together.
@@ -170,6 +170,7 @@ def survey(documents: DataFrame, rule: Rule, bits: int) -> DataFrame:
             [none, none, none, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((kind, pa.binary(), pa.binary())))],
             names=["doc_id", "n", "node", "bucket", "prints", "times"])
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for part, texts in _parts(batches, 0):
@@ -250,6 +251,7 @@ def prefixes_of(documents: DataFrame, classes: DataFrame, rule: Rule, frequent:
     context = documents.sparkSession.sparkContext
     wanted, known = context.broadcast(bitmap_of(classes)), context.broadcast(frequent)
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, 0):
             chosen = _chosen(wanted.value, part)
@@ -273,6 +275,7 @@ _ENTRY = ("ngram", "rare", "node", "n", "place")
 _RUNS = "kind int, ngram long, rare int, node long, n int, place int, pivot_rare int, pivot long, pivot_n int, pivot_place int, entries long"
 
 
+@lean
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of n-grams of two entries or more with their pivot; what touches the edge of the task stays open."""
     first: tuple | None = None  # the first entry of the run that is not over
@@ -387,6 +390,7 @@ def _segments(documents: DataFrame, members: DataFrame, rule: Rule) -> DataFrame
     shared = documents.sparkSession.sparkContext.broadcast(bitmap_of(members))
     edges = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 63) // FRAGMENTS)
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _parts(batches, 0):
             sets = [h for h in ngram_hashes(texts.filter(_chosen(shared.value, part)), rule.size) if len(h)]

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import crc_share, pieces, ship, text_parts
+from graphrank.llm.common import crc_share, lean, pieces, ship, text_parts
 
 BUCKETS = 1 << 15
 MAX_ORDER = 3
 UNKNOWN = "und"
 #: Distinct texts per language that fit the model, about; which ones is decided by a hash of text and language.
 FIT_ROWS = 4096
+#: Characters whose n-grams are held at once.
+_CHARS = 1 << 18
 #: The matrix that is broadcast has at most this many columns (64 MB).
 MAX_LANGUAGES = 512
 
@@ -121,9 +123,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     draw = F.pmod(F.xxhash64("text", "lang", F.lit("fit")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("lang", "text", F.xxhash64("text").alias("hash")).dropDuplicates(["lang", "hash"]).select("lang", "text")
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", _CHARS):
             for name, group in batch.groupby("lang"):
                 for index, _ in features(list(group["text"]), buckets):
                     sums[name] = sums.get(name, 0) + np.bincount(index, minlength=buckets)
@@ -148,9 +151,12 @@ def _identifier(documents: DataFrame, model: LanguageModel):
 
     @F.pandas_udf("struct<lang_pred string, score double>")
     def identify(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from lean(named)(parts)
+
+    def named(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for texts in parts:
-            found = [known.score(list(batch["text"])) for batch in pieces([pd.DataFrame({"text": texts})], "text")]
+            found = [known.score(list(batch["text"])) for batch in pieces([pd.DataFrame({"text": texts})], "text", _CHARS)]
             number = np.concatenate([f[0] for f in found]) if found else []
             names = pd.Series([known.languages[i] if i >= 0 else UNKNOWN for i in number], dtype=object)
             yield pd.DataFrame({"lang_pred": names, "score": np.concatenate([f[1] for f in found]) if found else np.empty(0)})
@@ -172,11 +178,12 @@ def accepted(documents: DataFrame, model: LanguageModel, least: float = 0.5, tex
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index(text)
 
+    @lean
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for whole in batches:
             texts = whole.column(place).cast(pa.string())
-            for part in text_parts(pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)), pa.int64())], names=["text", "at"]), 0, 1 << 20):
+            for part in text_parts(pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)), pa.int64())], names=["text", "at"]), 0, _CHARS):
                 number, score = known.score([t or "" for t in part.column(0).to_pylist()])
                 keep = part.column(1).filter(pa.array((number >= 0) & (score >= least)))
                 if len(keep):

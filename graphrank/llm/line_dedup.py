@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import SPACES, ascii_lower, materialize, ship, shuffle_partitions
+from graphrank.llm.common import SPACES, ascii_lower, lean, materialize, ship, shuffle_partitions
 
 _DROP, _OPEN, _EDGE = 0, 1, 2
 _FIELDS = ("h1", "h2", "no_id", "id", "version", "pos")
@@ -162,7 +162,7 @@ def keep_bitmaps(documents: DataFrame, min_docs: int = 2, keep_first: bool = Tru
         .select(F.xxhash64(F.lit(0), "key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "no_id", "id", "version", "pos")
     )
     ranged = lines.repartitionByRange(shuffle_partitions(spark), "h1", "h2", "no_id", "id")
-    found = materialize(ranged.sortWithinPartitions(*_FIELDS).mapInArrow(_stream(min_docs, keep_first), _SCHEMA))
+    found = materialize(ranged.sortWithinPartitions(*_FIELDS).mapInArrow(lean(_stream(min_docs, keep_first)), _SCHEMA))
     edges = (
         found.where(F.col("kind") == _EDGE).groupBy("h1", "h2")
         .agg(F.sum("n_docs").alias("_docs"), F.min(F.struct("no_id", "id", "version", "pos")).alias("_first"))

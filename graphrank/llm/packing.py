@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import materialize, ship, shuffle_partitions
+from graphrank.llm.common import lean, materialize, ship, shuffle_partitions
 
-#: Words, and stems of words, whose ids a task remembers, and the longest of them: some 30 MB at most.
-_WORDS, _STEMS, _LONGEST = 1 << 16, 1 << 17, 48
+#: Words, and stems of words, whose ids a task remembers, and the longest of them: some 70 MB at most.
+_WORDS, _STEMS, _LONGEST = 1 << 17, 1 << 18, 48
 #: Characters of text that are tokenized together.
 _TOGETHER = 1 << 21
 #: What a Python worker holds: the tokenizer, and the words of the task that runs.
@@ -147,6 +147,7 @@ def tokenized_pieces(documents: DataFrame, definition: str, capacity: int, end_i
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from pieces_of(batches)

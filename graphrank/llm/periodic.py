@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.llm.common import numbered_words, ship, text_parts
+from graphrank.llm.common import lean, numbered_words, ship, text_parts
 
 #: Periods below are scanned directly; also the window of the first scale.
 SHORTEST = 16
@@ -217,6 +217,7 @@ def periodic_runs(documents: DataFrame, planted: bool = False, collapsed: bool =
     """
     ship(documents.sparkSession)
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_parts(whole, 1):
