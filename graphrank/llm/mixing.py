@@ -84,23 +84,25 @@ def mix(documents: DataFrame, weights: tuple[float, ...], tilt: tuple[float, ...
     hash ranges, the sizes of earlier ranges are added as an offset.
     """
     key = stable_hash(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    named = F.col(source).cast("string")
+    # a name for every source, null too: the window's partitioning then serves the join, and texts move once
     rows = materialize(documents.select(
-        F.struct(*keep).alias("row"), F.col(source).cast("string").alias("source"), F.col(doc_id).alias("_id"),
+        F.struct(*keep).alias("row"), named.alias("source"), F.col(doc_id).alias("_id"),
+        F.when(named.isNull(), "0").otherwise(F.concat(F.lit("1"), named)).alias("_source"),
         size_of(F.col(text)).alias("size"), key.alias("_key"), F.substring(key, 1, _RANGE_DIGITS).alias("_range"),
     ))
-    ranges = materialize(rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum")))
+    ranges = materialize(rows.groupBy("source", "_source", "_range").agg(F.sum("size").alias("_sum")))
     sources = ranges.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     known = targets(repeating_schedule(sources, weights, tilt), share, passes)
-    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    # one row per source and range; null is a source
-    per_range = offsets.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    per_range = per_range.select(
-        F.col("source").alias("_source"), F.col("_range").alias("_r"), "_offset", "source_size", "start", "end", "weight", "target")
-    within = Window.partitionBy("source", "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per source and range
+    per_range = offsets.join(known.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).select(
+        "_source", "_range", "_offset", "source_size", "start", "end", "weight", "target")
+    within = Window.partitionBy("_source", "_range").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("_inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(per_range, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+        .join(per_range, ["_source", "_range"])
         .withColumn("_before", F.col("_offset") + F.col("_inside"))
     )
     words = F.floor(F.col("target") + 0.5)
