@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ from graphrank.llm.labelled_pages import PAGES
 FIT_PAGES, FIXED_WEIGHT = 512, 40.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = re.compile(r"<(/?)(script|style|textarea|iframe|noscript|title|svg|math)(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.I | re.S)
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+RAW = re.compile(r"<(/?)(script|style|textarea|iframe|noscript|title|svg|math)(?=[\s/>])|<!--|<[!?]", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,99})")
 UNENDED = re.compile(r"<[a-zA-Z/][^<>]*\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var ruby rt rp".split())
 INLINE |= frozenset("math mi mo mn ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror semantics".split())
@@ -84,23 +87,98 @@ def kind_of(tag: str, attributes: str) -> str:
     return own or "div"
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside quotes. Every quote and bracket is looked at once, however broken the page is.
+
+    A search goes from one quote or bracket to the next outside quotes; what it passes without finding an end cannot lead
+    to one later either, and is remembered.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places = array("q", (m.start() for m in re.finditer("[\"'>]", text)))
+        self.quotes = {q: array("q", (i for i in self.places if text[i] == q)) for q in "\"'"}
+        self.last = text.rfind(">")
+        self.failed: set[int] = set()
+
+    def after(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        passed = []
+        while at <= self.last:
+            k = bisect_left(self.places, at)
+            if k == len(self.places) or self.places[k] in self.failed:
+                break
+            place = self.places[k]
+            sign = self.text[place]
+            if sign == ">":
+                return place
+            passed.append(place)
+            same = self.quotes[sign]
+            k = bisect_right(same, place)
+            if k == len(same):  # a quote that is never closed
+                break
+            at = same[k] + 1
+        self.failed.update(passed)
+        return -1
+
+
+class Tag(NamedTuple):
+    start: int
+    end: int
+    ending: bool
+    name: str
+    attributes: str
+
+    @property
+    def closed(self) -> bool:
+        return self.attributes.rstrip().endswith("/")
+
+
+def tags_of(text: str) -> Iterator[Tag]:
+    ends, at = TagEnds(text), 0
+    while match := TAG.search(text, at):
+        stop = match.end()
+        end = ends.after(stop)
+        while end < 0:  # a quote that stands in the name may open an attribute
+            stop = max(text.rfind('"', match.start(2), stop), text.rfind("'", match.start(2), stop))
+            if stop < 0:
+                break
+            end = ends.after(stop)
+        if end < 0:
+            at = match.start() + 1
+        else:
+            at = end + 1
+            yield Tag(match.start(), at, bool(match[1]), text[match.start(2) : stop].lower(), text[stop:end])
+
+
 def without_raw(source: str) -> str:
     """The page without comments and raw elements, which run to their end tag, or without one to the end of the page."""
-    out, at, foreign, unended = [], 0, 0, set()
-    while match := RAW.search(source, at):
-        out.append(source[at : match.start()])
-        at = match.end()
+    out, at, begin, foreign, unended = [], 0, 0, 0, set()
+    ends = TagEnds(source)
+    while match := RAW.search(source, begin):
         name = (match[2] or "").lower()
-        closed = name and match[3].rstrip().endswith("/")
+        if name:
+            end = ends.after(match.end())
+            if end < 0:  # no tag
+                begin = match.end()
+                continue
+            end += 1
+        else:
+            sign = "-->" if match[0] == "<!--" else ">"
+            end = source.find(sign, match.end())
+            end = len(source) if end < 0 else end + len(sign)
+        out.append(source[at : match.start()])
+        at = begin = end
+        closed = name and source[match.end() : end - 1].rstrip().endswith("/")
         if name in ("svg", "math"):
             foreign = max(0, foreign - 1) if match[1] else foreign + (not closed)
-            out.append(match[0])
+            out.append(source[match.start() : end])
             continue
         out.append(" ")
         if name and not match[1] and not (foreign and closed):
-            end = None if name in unended else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            if end:
-                at = end.end()
+            close = None if name in unended else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at, ends.last + 1)
+            if close:
+                at = begin = close.end()
             elif foreign:  # a drawing ends before the page does
                 unended.add(name)
             else:
@@ -109,23 +187,68 @@ def without_raw(source: str) -> str:
     return "".join(out)
 
 
-def ended(tags: list[re.Match]) -> set[int]:
+def ended(tags: list[Tag]) -> set[int]:
     """Starts of the silent elements that have an end tag of their own."""
     found, pending = set(), {}
-    for match in tags:
-        tag = match[2].lower()
-        if tag in SILENT:
-            waiting = pending.setdefault(tag, [])
-            if match[1]:
+    for tag in tags:
+        if tag.name in SILENT:
+            waiting = pending.setdefault(tag.name, [])
+            if tag.ending:
                 if waiting:
                     found.add(waiting.pop())
-            elif not match[3].rstrip().endswith("/"):
-                if tag in ("button", "select"):  # do not nest
+            elif not tag.closed:
+                if tag.name in ("button", "select"):  # do not nest
                     waiting.clear()
-                waiting.append(match.start())
+                waiting.append(tag.start)
     return found
 
 
+class OpenElements:
+    """Open elements with their block, and where each name is among them, so nothing is searched from the top."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = [""]
+        self.nodes: list[int] = [0]
+        self.places: dict[str, list[int]] = {}
+        self.solid: list[int] = [0]  # neither inline elements nor paragraphs
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name not in INLINE and name != "p":
+            self.solid.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> list[str]:
+        """Close all from ``depth`` on; their names."""
+        gone = self.names[depth:]
+        for name in gone:
+            self.places[name].pop()
+        while self.solid[-1] >= depth:
+            self.solid.pop()
+        del self.names[depth:], self.nodes[depth:]
+        return gone
+
+    def nearest(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def outermost(self, names: Iterable[str], below: int = 0) -> int:
+        """Depth of the outermost one deeper than ``below``, 0 if there is none."""
+        found = []
+        for n in names:
+            places = self.places.get(n, [])
+            k = bisect_right(places, below)
+            if k < len(places):
+                found.append(places[k])
+        return min(found, default=0)
+
+
+#: Items and cells end where the next one begins: names they end, names that hold them apart.
+_ENDS = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+         "td": (("td", "th"), ("tr",)), "th": (("td", "th"), ("tr",))}
+
+
 class Page:
     """Blocks in page order: parent, kind, nearest telling ancestor, text pieces, characters of text and of link text."""
 
@@ -135,72 +258,66 @@ class Page:
         self.label: list[int] = [0]
         self.landmarks = self.loose = 0
         text = UNENDED.sub(" ", without_raw(source))
-        stack: list[tuple[str, int]] = [("", 0)]  # open elements with their block
+        stack = OpenElements()
         links = hushed = at = 0
-        tags = list(TAG.finditer(text))
+        tags = list(tags_of(text))
         whole = ended(tags)
 
         def cut(depth: int) -> None:
             nonlocal links, hushed
-            links -= sum(t == "a" for t, _ in stack[depth:])
-            hushed -= sum(t in _HUSHED for t, _ in stack[depth:])
-            del stack[depth:]
-
-        for match in tags:
-            if match.start() > at and not hushed:
-                self._text(text[at : match.start()], stack[-1][1], links)
-            at = match.end()
-            tag, ending = match[2].lower(), bool(match[1])
-            if hushed and not ending and tag in _BREAKS:
-                for depth, (name, _) in enumerate(stack):
-                    if name in _UNENDED_SILENT:
-                        cut(depth)
-                        break
-            if tag == "br" or tag == "hr":
+            for name in stack.cut(depth):
+                links -= name == "a"
+                hushed -= name in _HUSHED
+
+        for tag in tags:
+            if tag.start > at and not hushed:
+                self._text(text[at : tag.start], stack.nodes[-1], links)
+            at, name = tag.end, tag.name
+            if hushed and not tag.ending and name in _BREAKS:
+                depth = stack.outermost(_UNENDED_SILENT)
+                if depth:
+                    cut(depth)
+            if name == "br" or name == "hr":
                 if not hushed:
-                    self.pieces.append((stack[-1][1], " "))
-            elif tag in VOID:
+                    self.pieces.append((stack.nodes[-1], " "))
+            elif name in VOID:
                 pass
-            elif ending:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        cut(depth)
-                        break
-                if tag not in INLINE and not hushed:
-                    self.pieces.append((stack[-1][1], " "))
-            elif tag in SILENT:
-                self.pieces.append((stack[-1][1], " "))
-                if not match[3].rstrip().endswith("/") and (match.start() in whole or tag in LASTING):
-                    stack.append((tag if match.start() in whole else f"{tag}?", stack[-1][1]))
+            elif tag.ending:
+                depth = stack.nearest((name,))
+                if depth:
+                    cut(depth)
+                if name not in INLINE and not hushed:
+                    self.pieces.append((stack.nodes[-1], " "))
+            elif name in SILENT:
+                self.pieces.append((stack.nodes[-1], " "))
+                if not tag.closed and (tag.start in whole or name in LASTING):
+                    stack.push(name if tag.start in whole else f"{name}?", stack.nodes[-1])
                     hushed += 1
             elif hushed:
-                if not match[3].rstrip().endswith("/"):
-                    links += tag == "a"
-                    stack.append((tag, stack[-1][1]))
-            elif tag in INLINE:
-                if tag == "a":
+                if not tag.closed:
+                    links += name == "a"
+                    stack.push(name, stack.nodes[-1])
+            elif name in INLINE:
+                if name == "a":
                     links += 1
-                if not match[3].rstrip().endswith("/"):
-                    stack.append((tag, stack[-1][1]))
+                if not tag.closed:
+                    stack.push(name, stack.nodes[-1])
             else:
                 # an open paragraph or item ends where the next block begins
-                close = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
-                ends, until = close.get(tag, ("", ()))
-                for depth in range(len(stack) - 1, 0, -1):
-                    name = stack[depth][0]
-                    if name == "p" or name in ends.split():
-                        cut(depth)
-                        if name != "p":
-                            break
-                    elif name in until or name not in INLINE:
-                        if not ends or name in until:
-                            break
-                self._block(tag, match[3], stack, labelled)
+                if name in _ENDS:
+                    ends, apart = _ENDS[name]
+                    inner, until = stack.nearest(ends), stack.nearest(apart)
+                    depth = inner if inner > until else stack.outermost(("p",), until)
+                else:
+                    depth = stack.outermost(("p",), stack.solid[-1])
+                if depth:
+                    cut(depth)
+                self._block(name, tag.attributes, stack, labelled)
         if at < len(text) and not hushed:
-            self._text(text[at:], stack[-1][1], links)
+            self._text(text[at:], stack.nodes[-1], links)
 
-    def _block(self, tag: str, attributes: str, stack: list, labelled: bool) -> None:
-        above = stack[-1][1]
+    def _block(self, tag: str, attributes: str, stack: OpenElements, labelled: bool) -> None:
+        above = stack.nodes[-1]
         kind = kind_of(tag, attributes)
         if tag in ("html", "body"):
             return
@@ -214,7 +331,7 @@ class Page:
         node = self._add(above, kind, label)
         self.loose = 0
         if not attributes.rstrip().endswith("/"):
-            stack.append((tag, node))
+            stack.push(tag, node)
 
     def _add(self, above: int, kind: str, label: int) -> int:
         self.parent.append(above)
