@@ -182,28 +182,6 @@ def _vectors(x: DataFrame) -> DataFrame:
     return x.select("node_id", F.col("x").alias("vector"))
 
 
-@query("B3, C14, C15")
-def feature_logistic(s: Sources) -> DataFrame:
-    links, features = labelled_links(s), _vectors(node_numbers(s))
-    model = R.fit_logistic(R.link_features(_examples(links, "train"), features))
-    return R.logistic_scores(model, _examples(links, "test"), features)
-
-
-def message_typed(s: Sources, links: DataFrame) -> DataFrame:
-    """Typed message edges (both ways) of customers and parts."""
-    message = S.message_links(links)
-    return G.with_reverse(message.select(F.lit("disease").alias("src_type"), F.col("edge_type").alias("relation"),
-                                         F.lit("gene").alias("dst_type"), "src", "dst"))
-
-
-@query("B14, F12")
-def graph_logistic(s: Sources) -> DataFrame:
-    links = labelled_links(s)
-    features = _vectors(materialize(P.relation_means(message_typed(s, links), node_numbers(s), 2)))
-    model = R.fit_logistic(R.link_features(_examples(links, "train"), features))
-    return R.logistic_scores(model, _examples(links, "test"), features)
-
-
 @query("B4")
 def factor_scores(s: Sources) -> DataFrame:
     links = labelled_links(s)
@@ -325,9 +303,11 @@ def ranking_metrics(s: Sources) -> DataFrame:
 
 PER_POSITIVE = 1000
 # the walk of every positive over the indexed tails, the whole of it
-_WALK = f"""tails AS MATERIALIZED (SELECT tail, row_number() OVER (ORDER BY tail) - 1 AS pos FROM (SELECT DISTINCT tail FROM dg)),
-    size AS MATERIALIZED (SELECT count(*) AS t FROM tails),
-    prime AS MATERIALIZED (SELECT min(p) AS p FROM (SELECT t + unnest(range(500)) AS p FROM size) WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) d(x) WHERE x * x <= p AND p % x = 0)),
+def walk_sql(tails: str, scored: str) -> str:
+    """Expressions from ``tails`` (a SELECT of all tails) to ``cand`` and ``scored`` (a SELECT over them)."""
+    return f"""tails AS MATERIALIZED (SELECT tail, row_number() OVER (ORDER BY tail) - 1 AS pos FROM ({tails})),
+    n_tails AS MATERIALIZED (SELECT count(*) AS t FROM tails),
+    prime AS MATERIALIZED (SELECT min(p) AS p FROM (SELECT t + unnest(range(500)) AS p FROM n_tails) WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) d(x) WHERE x * x <= p AND p % x = 0)),
     walker AS MATERIALIZED (SELECT seed, src AS head, dst AS true_tail, md5(concat_ws('|', CAST(seed AS VARCHAR), src, edge_type, dst)) AS h
         FROM sup, {_SEED_ROWS} WHERE edge_type = 'associated_with' AND split = 'test'),
     step AS MATERIALIZED (SELECT seed, head, true_tail, j, ((1 + {hexnum('h', 1)} % (p - 1)) * j + {hexnum('h', 16)} % p) % p AS pos
@@ -335,7 +315,10 @@ _WALK = f"""tails AS MATERIALIZED (SELECT tail, row_number() OVER (ORDER BY tail
     drawn AS MATERIALIZED (SELECT seed, head, true_tail, tail FROM (SELECT s.*, t.tail, row_number() OVER (PARTITION BY seed, s.head, true_tail ORDER BY j) AS r
         FROM step s JOIN tails t USING (pos) ANTI JOIN (SELECT head, tail FROM dg) k ON k.head = s.head AND k.tail = t.tail) WHERE r <= {PER_POSITIVE}),
     cand AS MATERIALIZED (SELECT seed, head, tail, max(label) AS label FROM (SELECT seed, head, tail, 0 AS label FROM drawn UNION ALL SELECT seed, head, true_tail, 1 FROM walker) GROUP BY 1, 2, 3),
-    scored AS MATERIALIZED (SELECT c.*, coalesce(p.score, 0) AS score FROM cand c LEFT JOIN mpop p USING (tail))"""
+    scored AS MATERIALIZED ({scored})"""
+
+
+_WALK = walk_sql("SELECT DISTINCT tail FROM dg", "SELECT c.*, coalesce(p.score, 0) AS score FROM cand c LEFT JOIN mpop p USING (tail)")
 _MPOP = """mpop AS MATERIALIZED (SELECT tail, CAST(sum(w) AS DOUBLE) AS score FROM (SELECT dst AS tail, 2 AS w FROM msg WHERE edge_type = 'associated_with'
     UNION ALL SELECT src, 1 FROM msg WHERE edge_type = 'associated_with') GROUP BY 1)"""
 
