@@ -37,22 +37,46 @@ def taking_part(vector: Column) -> Column:
 
 # ---- a graph in arrays ----
 
+#: Largest component of a moved vector, and mean square of components from which a query is far from the shard.
+_OUTSIDE, _FAR = 1e12, 1e3
+
+
+def _power(values: np.ndarray) -> float:
+    """A power of two by which the largest component becomes about 1: multiplying by it is exact."""
+    most = float(np.abs(values).max(initial=0.0))
+    return math.ldexp(1.0, max(-1000, min(1000, -math.frexp(most)[1]))) if most else 1.0
+
+
 
 class Graph:
-    """Vectors (n, d), levels (n,), links[level] (n, width) with -1 for none."""
+    """Vectors (n, d), levels (n,), links[level] (n, width) with -1 for none.
+
+    The graph works in single precision on vectors that are moved to their median and scaled, so that neither a common
+    offset nor the size of the numbers costs precision; scores are computed from the original vectors.
+    """
 
     def __init__(self, vectors: np.ndarray, levels: np.ndarray):
-        self.x = vectors.astype(np.float32)
+        self.scale = [_power(vectors)]
+        self.centre = np.median(vectors * self.scale[0], axis=0) if len(vectors) else 0.0  # a few far vectors do not move it
+        self.scale.append(_power(vectors * self.scale[0] - self.centre))
+        self.x = self.moved(vectors)
         self.norm = np.einsum("ij,ij->i", self.x, self.x)
         self.levels = levels
         top = int(levels.max()) if len(levels) else 0
         self.links = [np.full((len(vectors), LINKS if k == 0 else UPPER), -1, dtype=np.int32) for k in range(top + 1)]
         self.entry = int(np.argmax(levels)) if len(levels) else -1
 
+    def moved(self, vectors: np.ndarray) -> np.ndarray:
+        """Vectors as the graph sees them; those very far outside come as near as single precision needs."""
+        with np.errstate(over="ignore"):
+            return np.clip((vectors * self.scale[0] - self.centre) * self.scale[1], -_OUTSIDE, _OUTSIDE).astype(np.float32)
+
     def distances(self, query: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        """Squared distances (b, m) of queries (b, d) from nodes (b, m)."""
+        """Squared distances (b, m) of queries (b, d) from nodes (b, m); of far queries less a constant that would swallow the differences."""
         product = np.matmul(self.x[nodes], query[:, :, None])[:, :, 0]
-        return np.maximum(self.norm[nodes] - 2 * product + np.einsum("ij,ij->i", query, query)[:, None], 0)
+        own = np.einsum("ij,ij->i", query, query)
+        far = own > _FAR * query.shape[1]
+        return np.maximum(self.norm[nodes] - 2 * product + np.where(far, 0, own)[:, None], np.where(far, -np.inf, 0)[:, None])
 
     def search(self, query: np.ndarray, entry: np.ndarray, level: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query as (nodes, distances), nearest first; -1 and inf fill it up. All queries step together."""
@@ -245,7 +269,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH
 
     def nearest(graph: Graph, exact: np.ndarray, members: list[np.ndarray], block: list[tuple]) -> pd.DataFrame:
         query = np.array([b[1] for b in block], dtype=np.float64)
-        small = query.astype(np.float32)
+        small = graph.moved(query)
         nodes, _ = graph.search(small, graph.descend(small, 0), 0, min(max(beam, k + 1), len(exact)))
         out = []
         for (own, _), vector, row in zip(block, query, nodes, strict=True):

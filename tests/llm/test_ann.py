@@ -61,3 +61,26 @@ def test_flat_round_trip():
     again = ann.Graph.from_flat(x, graph.levels, graph.flat())
     for a, b in zip(graph.links, again.links, strict=True):
         assert (a == b).all()
+
+
+def _recall(x, query, k=10):
+    graph = ann.Graph(x, ann._levels(np.arange(len(x)))).build()
+    moved = graph.moved(query)
+    nodes, _ = graph.search(moved, graph.descend(moved, 0), 0, ann.SEARCH_BEAM)
+    hits = 0
+    for row, q in zip(nodes, query):
+        row = row[row >= 0]
+        found = row[np.argsort(((x[row] - q) ** 2).sum(axis=1))[:k]]
+        hits += len(set(found) & set(np.argsort(((x - q) ** 2).sum(axis=1))[:k]))
+    return hits / (k * len(query))
+
+
+def test_offset_and_size_cost_no_recall():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(600, 32))
+    tables = {"plain": x, "offset": x + 1e4, "far offset": x - 1e9, "large": x * 1e25, "very large": x * 1e150, "small": x * 1e-30,
+              "some far": np.concatenate([x, x[:3] * 1e6]), "one": x[:1], "equal": np.ones((5, 4))}
+    for name, rows in tables.items():
+        assert _recall(rows, rows[:60], min(10, len(rows))) >= 0.95, name
+    for query in (draw.normal(size=(40, 32)) * 1e5, x[:40] + 1e7, draw.normal(size=(40, 32)) * 1e11):  # far from all vectors
+        assert _recall(x, query) >= 0.95

@@ -1,3 +1,5 @@
+import time
+
 from graphrank.llm import html_extract
 from graphrank.llm.labelled_pages import PAGES
 
@@ -80,3 +82,22 @@ def test_elements_without_text_hide_no_article():
     formula = "<math><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><annotation>tex</annotation></math>"
     assert model.text(f"<article><p>{STORY} {formula} {STORY}</p></article>") == f"{STORY} a+1 {STORY}"
     assert model.text(f"<article><p>{STORY}<select><option>A</select> <button>B</button></p></article><script>{STORY}") == STORY
+
+
+def test_broken_pages_take_time_in_proportion():
+    n = 200_000
+    forms = {
+        "open tags": "<a " * n, "ended late": "<a " * n + ">", "quotes": '<a "' * n, "a quote late": "<a " * n + '" >', "both quotes": "<a '\"" * n + ">",
+        "unopened ends": "<div>" * n + "</x>" * n, "items": "<div>" * n + "<li></li>" * (n // 3), "items apart": "<li><ul>" + "<div>" * n + "<li></li>" * (n // 3),
+        "inline": "<b>" * n + "<div></div>" * (n // 3), "script ends": "<script>" + "</script " * n, "scripts": '<script "' * n + ">", "comments": "<!-- " * n,
+        "names": "<" + "a<" * (2 * n), "drawings": "<svg>" * n, "choices": "<select><b>" * (n // 2) + "<div>" * (n // 2)}
+    for name, page in forms.items():
+        begin = time.time()
+        html_extract.Page(page)
+        assert time.time() - begin < 10, name
+
+
+def test_quotes_in_names_and_ends_of_tags():
+    assert [(t.name, t.attributes, t.ending) for t in html_extract.tags_of("<p class='a>b'>x</p><a b=\"<i>\">< b><li\"x/y\"></UL >")] == [
+        ("p", " class='a>b'", False), ("p", "", True), ("a", ' b="<i>"', False), ("li", '"x/y"', False), ("ul", " ", True)]
+    assert [t.name for t in html_extract.tags_of("<a '<b>")] == ["b"]
