@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphrank.catalog.columns import scratch
 from graphrank.catalog.registry import query
-from graphrank.catalog.sql import negatives, with_tables
+from graphrank.catalog.sql import hexnum, negatives, with_tables
 from graphrank.operators import graph as G
 from graphrank.operators import negatives as N
 from graphrank.operators import splits as S
@@ -136,6 +136,30 @@ def hard_negatives(s: Sources) -> DataFrame:
     return N.sample_negatives(heads, tails, links, wanted, 13, "hard", "hard", hard_pairs=hard)
 
 
+def _move(k: int, half: str) -> str:
+    return hexnum(f"md5(concat_ws('|', '13', 'two', '{k}', CAST({half} AS VARCHAR)))")
+
+
+_TWO_STEPS = f"""l1 AS MATERIALIZED (SELECT src, dst FROM links WHERE edge_type = 'associated_with'),
+    hd AS MATERIALIZED (SELECT dst AS mid, src, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS s, count(*) OVER (PARTITION BY dst) AS hn FROM l1),
+    tl AS MATERIALIZED (SELECT head AS mid, tail AS dst, row_number() OVER (PARTITION BY head ORDER BY tail) - 1 AS d, count(*) OVER (PARTITION BY head) AS tn
+        FROM (SELECT DISTINCT head, tail FROM gg) WHERE tail IN (SELECT dst FROM l1)),
+    way AS MATERIALIZED (SELECT src, tl.dst, row_number() OVER (ORDER BY mid, s, d) - 1 AS place FROM hd JOIN tl USING (mid)),
+    z AS MATERIALIZED (SELECT count(*) AS n, CAST(ceil(sqrt(CAST(count(*) AS DOUBLE))) AS BIGINT) AS l FROM way),
+    s0 AS MATERIALIZED (SELECT l, r, j, j // r AS x, j % r AS y FROM (SELECT l, (n + l - 1) // l AS r, unnest(range(l * ((n + l - 1) // l))) AS j FROM z)),
+    s1 AS MATERIALIZED (SELECT * REPLACE ((x + {_move(0, 'y')} % l) % l AS x) FROM s0), s2 AS MATERIALIZED (SELECT * REPLACE ((y + {_move(1, 'x')} % r) % r AS y) FROM s1),
+    s3 AS MATERIALIZED (SELECT * REPLACE ((x + {_move(2, 'y')} % l) % l AS x) FROM s2), s4 AS MATERIALIZED (SELECT * REPLACE ((y + {_move(3, 'x')} % r) % r AS y) FROM s3)"""
+
+
+@query("N10", with_tables("links gg", """SELECT src, dst FROM (SELECT src, dst, min(j) AS j FROM s4 JOIN way ON place = x * r + y
+    ANTI JOIN l1 USING (src, dst) WHERE src <> dst GROUP BY 1, 2) ORDER BY j LIMIT 3000""", _TWO_STEPS))
+def sampled_hard_pairs(s: Sources) -> DataFrame:
+    """Genes two steps from a disease, drawn by their ways without listing them."""
+    _, tails, links = _pair_space(s, "disease_gene")
+    near = s.gene_gene().select(F.col("gene_a").alias("a"), F.col("gene_b").alias("b"))
+    return N.sample_hard_pairs(links, near, links, 3000, 13, "two", tails)
+
+
 @query("C19, G17", with_tables("parts", "SELECT edge_type, count(*) AS links FROM parts GROUP BY 1"))
 def predicted_relations(s: Sources) -> DataFrame:
     typed = G.typed_edges(s.edges("disease_gene", "drug_gene", "gene_pathway"))

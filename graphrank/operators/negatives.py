@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrank.operators.ordering import dense_index, hash_number, stable_hash
+from graphrank.operators.ordering import dense_index, hash_number, stable_hash, with_running_sums
 from graphrank.plans.lineage import materialize
 
 STRATEGIES = ("random", "degree_matched", "hard")
@@ -48,15 +48,19 @@ def _visited(spark, edge_type: str, size: tuple[int, int], steps: tuple[int, int
     A step's number is cut in two halves; each round moves one half by a hash of the other, which can be undone, so the
     whole is one-to-one. Numbers from ``pairs`` on, fewer than the root of all, are no pairs.
     """
-    left, right = halves(size[0] * size[1])
-    j = spark.range(*steps).select(F.col("id").alias("_j"))
-    j = j.select("_j", F.expr(f"_j div {right}").alias("_x"), (F.col("_j") % right).alias("_y"))
+    placed = _permuted_range(spark, size[0] * size[1], steps, seed, stage, edge_type)
+    return placed.select(F.lit(edge_type).alias("edge_type"), "_j", F.expr(f"_place div {size[1]}").alias("_s"), (F.col("_place") % size[1]).alias("_d"))
+
+
+def _permuted_range(spark, numbers: int, steps: tuple[int, int], *key: str | int) -> DataFrame:
+    """(_j, _place) for steps ``[steps[0], steps[1])`` of the permutation of ``numbers`` numbers keyed by ``key``."""
+    left, right = halves(numbers)
+    j = spark.range(*steps).select(F.col("id").alias("_j")).select("_j", F.expr(f"_j div {right}").alias("_x"), (F.col("_j") % right).alias("_y"))
     for k in range(ROUNDS):
         name, other, width = ("_x", "_y", left) if k % 2 == 0 else ("_y", "_x", right)
-        moved = hash_number(stable_hash(seed, stage, edge_type, k, F.col(other))) % width
+        moved = hash_number(stable_hash(*key, k, F.col(other))) % width
         j = j.withColumn(name, (F.col(name) + moved) % width)
-    placed = j.select("_j", (F.col("_x") * right + F.col("_y")).alias("_place")).where(F.col("_place") < size[0] * size[1])
-    return placed.select(F.lit(edge_type).alias("edge_type"), "_j", F.expr(f"_place div {size[1]}").alias("_s"), (F.col("_place") % size[1]).alias("_d"))
+    return j.select("_j", (F.col("_x") * right + F.col("_y")).alias("_place")).where(F.col("_place") < numbers)
 
 
 def _ends(index: DataFrame, name: str, position: str) -> DataFrame:
@@ -276,3 +280,48 @@ def _highest_degree_sums(
     for e, n in wanted.items():
         want = F.when(F.col("edge_type") == e, F.lit(n).cast("bigint")).otherwise(want)
     return placed.where(F.col("_place") < want).select("edge_type", "src", "dst")
+
+
+def sample_hard_pairs(
+    links: DataFrame, near: DataFrame, forbidden: DataFrame, wanted: int, seed: int, stage: str = "hard",
+    targets: DataFrame | None = None,
+) -> DataFrame:
+    """``wanted`` pairs ``(src, dst)`` two steps apart: a link ``src - middle``, then ``middle - dst`` of ``near`` (a, b).
+
+    Ways are numbered by middle node, link and neighbour, and taken in the order of a keyed permutation, so a pair comes with
+    the weight of its ways and the list of all ways is never made: a way's number tells the middle node, of which the
+    link and the neighbour are looked up by position. A hub's ways are spread like any others. Forbidden
+    pairs, pairs of a node with itself and ends not in ``targets`` (id) are skipped; the way on which a pair comes first counts.
+    """
+    spark = links.sparkSession
+    open_near = near.select(F.col("a").alias("mid"), F.col("b").alias("dst")).distinct()
+    if targets is not None:
+        open_near = open_near.join(targets.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
+    heads = materialize(dense_index(links.select(F.col("dst").alias("mid"), "src").distinct(), ["mid"], [F.col("src")], "_s"))
+    tails = materialize(dense_index(open_near, ["mid"], [F.col("dst")], "_d"))
+    counts = [d.groupBy("mid").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias(c)) for d, c in ((heads, "_heads"), (tails, "_tails"))]
+    middles = materialize(dense_index(counts[0].join(counts[1], "mid"), [], [F.col("mid")], "_m"))
+    empty = links.select("src", F.col("src").alias("dst")).limit(0)
+    if wanted <= 0 or middles.isEmpty():
+        return empty
+    ways = materialize(with_running_sums(middles.withColumn("_ways", F.col("_heads") * F.col("_tails")), [], "_m", ["_ways"]).select(
+        "mid", F.col("_tails").cast("bigint"), F.col("before__ways").cast("bigint").alias("_first"), F.col("_ways").cast("bigint")))
+    total = ways.agg(F.sum("_ways")).first()[0]
+    # ranges of numbers, so that a number finds its middle node by an equal join: about four ranges for each pair wanted
+    width = max(1, total // (4 * wanted))
+    ranges = materialize(ways.select("*", F.explode(F.expr(f"sequence(_first div {width}, (_first + _ways - 1) div {width})")).alias("_range")))
+    end, at, found = halves(total)[0] * halves(total)[1], 0, None
+    blocked = forbidden.select("src", "dst")
+    while at < end:
+        to = min(end, at + ceil(_SLACK * wanted * (2 if found is not None else 1)) + 64)
+        numbers = _permuted_range(spark, total, (at, to), seed, stage).withColumn("_range", F.expr(f"_place div {width}"))
+        own = numbers.join(ranges, "_range").where("_place >= _first AND _place < _first + _ways").select(
+            "_j", "mid", F.expr("(_place - _first) div _tails").alias("_s"), F.expr("(_place - _first) % _tails").alias("_d"))
+        pairs = own.join(heads, ["mid", "_s"]).join(tails, ["mid", "_d"]).where("src <> dst").join(blocked, ["src", "dst"], "left_anti")
+        both = pairs.select("src", "dst", "_j") if found is None else found.unionByName(pairs.select("src", "dst", "_j"))
+        found = materialize(both.groupBy("src", "dst").agg(F.min("_j").alias("_j")))
+        at = to
+        if found.count() >= wanted:
+            break
+    placed = dense_index(found, [], [F.col("_j")], "_place")
+    return placed.where(F.col("_place") < wanted).select("src", "dst")

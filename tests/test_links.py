@@ -170,3 +170,21 @@ def test_degree_sums_against_a_full_sort(frame, n):
         frame([("r", *p) for p in blocked], "edge_type string, src string, dst string"), {"r": n}, 3, "s", "degree_matched",
         frame(degrees, "edge_type string, side string, id string, degree int"))
     assert {tuple(r)[1:] for r in got.collect()} == set(pairs[:n])
+
+
+def test_two_step_pairs_are_all_found_and_weighted_by_ways(frame):
+    """A hub in the middle, forbidden pairs, few ways left; a sample begins with the smaller one."""
+    rng = random.Random(2)
+    links = {(f"d{i}", "hub") for i in range(30)} | {(f"d{rng.randrange(30)}", f"g{rng.randrange(12)}") for _ in range(60)}
+    near = {("hub", f"g{i}") for i in range(12)} | {(f"g{rng.randrange(12)}", f"g{rng.randrange(12)}") for _ in range(30)} | {("hub", "off")}
+    ways = [(s, b) for s, m in links for a, b in near if a == m and b != "off"]
+    possible = set(ways) - links
+    both = (frame([("r", *p) for p in links], "edge_type string, src string, dst string"), frame(list(near), "a string, b string"))
+    targets = frame([(f"g{i}",) for i in range(12)], "id string")
+    before = set()
+    for n in (1, 10, 60, 10_000):
+        got = {tuple(r) for r in N.sample_hard_pairs(*both, both[0], n, 5, targets=targets).collect()}
+        assert len(got) == min(n, len(possible)) and before <= got <= possible
+        before = got
+    none = frame([], "a string, b string")
+    assert N.sample_hard_pairs(both[0], none, both[0], 5, 5).count() == 0
