@@ -80,17 +80,17 @@ def mix(documents: DataFrame, weights: tuple[float, ...], tilt: tuple[float, ...
     start, end, weight, words_before.
 
     A source's target is met to the word: whole passes over it, then its first documents
-    once more, of which the last is cut. No group is ordered in one task: a source is cut into
+    once more, of which the last is cut. ``documents`` is read twice, for the sizes and for the rows, rather than stored. No group is ordered in one task: a source is cut into
     hash ranges, the sizes of earlier ranges are added as an offset.
     """
     key = stable_hash(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     named = F.col(source).cast("string")
     # a name for every source, null too: the window's partitioning then serves the join, and texts move once
-    rows = materialize(documents.select(
+    rows = documents.select(
         F.struct(*keep).alias("row"), named.alias("source"), F.col(doc_id).alias("_id"),
         F.when(named.isNull(), "0").otherwise(F.concat(F.lit("1"), named)).alias("_source"),
         size_of(F.col(text)).alias("size"), key.alias("_key"), F.substring(key, 1, _RANGE_DIGITS).alias("_range"),
-    ))
+    )
     ranges = materialize(rows.groupBy("source", "_source", "_range").agg(F.sum("size").alias("_sum")))
     sources = ranges.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     known = targets(repeating_schedule(sources, weights, tilt), share, passes)
