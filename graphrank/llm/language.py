@@ -32,8 +32,10 @@ UNKNOWN = "und"
 FIT_ROWS = 4096
 #: Characters whose n-grams are held at once.
 _CHARS = 1 << 18
-#: The matrix that is broadcast has at most this many columns (64 MB).
-MAX_LANGUAGES = 512
+#: Cells of the matrix that is broadcast (64 MB): many languages get fewer buckets each, ``LEAST_BUCKETS`` at least.
+CELLS, LEAST_BUCKETS = 1 << 24, 512
+#: Columns of the matrix that are gathered together, and cells of scores that are held.
+_COLUMNS, _SCORES = 16, 1 << 22
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 
@@ -87,12 +89,18 @@ class LanguageModel:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of the language or -1, score) per text. Orders overlap, so evidence counts 1 / MAX_ORDER."""
+        most = max(1, _SCORES // max(1, len(self.languages)))
+        if len(texts) > most:
+            parts = [self.score(texts[at : at + most]) for at in range(0, len(texts), most)]
+            return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
         total = np.zeros((len(texts), len(self.languages)))
         known = np.zeros(len(texts), dtype=bool)
         for index, starts in features(texts, len(self.log_probability)):
             full = np.flatnonzero(np.diff(np.append(starts, len(index))))
             if len(full) and self.languages:
-                total[full] += np.add.reduceat(self.log_probability[index], starts[full], axis=0)
+                for at in range(0, len(self.languages), _COLUMNS):
+                    some = slice(at, at + _COLUMNS)
+                    total[full, some] += np.add.reduceat(self.log_probability[:, some][index], starts[full], axis=0)
                 known[full] = True
         if not known.any():
             return np.full(len(texts), -1), np.zeros(len(texts))
@@ -112,10 +120,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     spark = labelled.sparkSession
     ship(spark)
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
-    found = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).limit(MAX_LANGUAGES + 1).collect()
+    languages = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    found = languages.limit(CELLS // LEAST_BUCKETS + 1).collect()
     sizes = {r["lang"]: r["n"] for r in found}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the model would be too large to broadcast")
+    if len(sizes) > CELLS // LEAST_BUCKETS:
+        raise ValueError(f"more than {CELLS // LEAST_BUCKETS} values of {lang}: these are no languages")
+    buckets = min(buckets, CELLS // max(1, len(sizes)))
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((buckets, 0), dtype=np.float32), np.zeros(0))

@@ -1,3 +1,4 @@
+import numpy as np
 from data import documents, odd_rows, prose
 
 from graphrank.llm import language
@@ -44,3 +45,38 @@ def test_copies_and_no_labels(spark):
     assert all(r["lang"] == r["lang_pred"] for r in language.predict(fresh, model, ["lang"]).collect())
     none = documents(spark, [(1, "abc", None, "s"), (2, "12 3", None, "s"), (3, None, None, "s"), (4, "é", None, "s")])
     assert sorted(r["doc_id"] for r in language.accepted(none, language.fit(none)).collect()) == [1, 4]
+
+
+def test_more_languages_than_fit_at_once(spark, monkeypatch):
+    """Junk in the language column costs buckets, not the job; blocks of columns and texts give what one block gives."""
+    rows = [(i, prose(i, 50, lang), lang, "s") for i in range(60) for lang in ("aa", "bb")] + [(5000 + i, f"q{i}x", f"junk{i}", "s") for i in range(600)]
+    monkeypatch.setattr(language, "CELLS", 1 << 20)
+    model = language.fit(documents(spark, rows))
+    assert len(model.languages) == 602 and model.log_probability.shape[0] == (1 << 20) // 602
+    texts = [prose(7000 + i, 30, lang) for i in range(40) for lang in ("aa", "bb")]
+    number, score = model.score(texts)
+    assert sum(model.languages[n] == lang for n, lang in zip(number, ["aa", "bb"] * 40)) >= 78
+    monkeypatch.setattr(language, "_COLUMNS", 1000)
+    monkeypatch.setattr(language, "_SCORES", 1 << 30)
+    again = model.score(texts)
+    assert (again[0] == number).all() and np.allclose(again[1], score)
+
+
+def test_model_against_plain_counts(spark):
+    """The same model counted and scored one n-gram at a time."""
+    rows = [(i, prose(i, 12, lang), lang, "s") for i in range(6) for lang in ("aa", "bb")]
+    model = language.fit(documents(spark, rows), rows=10**6, buckets=256)
+    counts = {lang: np.full(256, 0.1) for lang in ("aa", "bb")}
+    for text, lang in {(t, lang) for _, t, lang, _ in rows}:
+        for index, _ in language.features([text], 256):
+            for k in index:
+                counts[lang][k] += 1
+    for text in [prose(90 + i, 5 + i, "bb") for i in range(5)] + ["x", "ab cd"]:
+        logs = []
+        for lang in ("aa", "bb"):
+            p = np.log(counts[lang] / counts[lang].sum())
+            logs.append(sum(p[k] for index, _ in language.features([text], 256) for k in index) / language.MAX_ORDER + np.log(0.5))
+        share = np.exp(np.array(logs) - max(logs))
+        share /= share.sum()
+        number, score = model.score([text])
+        assert number[0] == share.argmax() and abs(score[0] - share.max()) < 1e-3
