@@ -40,7 +40,7 @@ from graphrank.llm.common import lean, materialize, ship, shuffle_partitions
 from graphrank.llm.components import components
 
 #: Characters that are hashed together, and n-grams of a task that are counted together.
-_CHARS, _COUNTED = 1 << 22, 1 << 22
+_CHARS, _COUNTED = 1 << 20, 1 << 20
 #: Fragments of the global order.
 FRAGMENTS = 8
 #: Groups of more members are compared block by block, of about so many documents.
