@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphrank.llm import jaccard, language, line_dedup, mixing, packing
-from graphrank.llm.common import materialize
 from graphrank.llm.queries import MIX, tokenizer_definition
 from graphrank.llm.registry import read
+from graphrank.plans.lineage import Workspace
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with Workspace(spark) as work:  # what a stage stores on its way goes when its result is written
+            docs = work.hand_on(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

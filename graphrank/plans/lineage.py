@@ -33,6 +33,38 @@ def _store(df: DataFrame, **options: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Workspace:
+    """Owner of the tables that are stored while it is open; they are removed when it closes.
+
+    Use it around a job whose result is written, or handed on, before the end::
+
+        with Workspace(spark) as work:
+            result = work.hand_on(job(...))   # stored for whoever opened a workspace around this one
+    """
+
+    _open: list[Workspace] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._paths = spark, []
+
+    def __enter__(self) -> Workspace:
+        Workspace._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Workspace._open.remove(self)
+        for path in self._paths:
+            _remove(self._spark, path)
+
+    def hand_on(self, df: DataFrame) -> DataFrame:
+        """Store ``df``; the table outlives this workspace and belongs to the one around it."""
+        stored, path = _store(df)
+        place = Workspace._open.index(self)
+        if place:
+            Workspace._open[place - 1]._paths.append(path)
+        return stored
+
+
 def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Compute ``df`` once, store it in the shared folder and return a plan that reads the stored rows.
 
@@ -41,9 +73,12 @@ def materialize(df: DataFrame, **options: str) -> DataFrame:
     Used where two later plans must see exactly the same rows (positions,
     samples) and to cut the lineage of loops. A written table survives the loss
     of executors, later plans read only the columns they need, and its known
-    size lets small sides be broadcast.
+    size lets small sides be broadcast. An open ``Workspace`` owns it; without one it stays in the work folder.
     """
-    return _store(df, **options)[0]
+    stored, path = _store(df, **options)
+    if Workspace._open:
+        Workspace._open[-1]._paths.append(path)
+    return stored
 
 
 class Rounds:
