@@ -72,3 +72,57 @@ def test_small_groups_are_judged_by_wider_ones(spark):
         rows.append((2000 + i, prose(500 + i, 90), lang, source))
     got = {r["row"]["doc_id"]: r["kept"] for r in quality.verdicts(documents(spark, rows), ["doc_id"]).collect()}
     assert got == {i: not 1000 <= i < 2000 for i in got} and len(got) == len(rows)
+
+
+def vector(text):
+    n, chars, symbols, lines, repeats, _ = base(text)
+    filled = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    return [np.log1p(n), np.log(max(chars, 1) / max(n, 1)), np.log1p(100 * symbols / max(n, 1)), np.log1p(10 * lines / max(filled, 1)), np.log1p(100 * repeats / max(n, 1))]
+
+
+def estimate(x):
+    """(mean, precision, scale) by concentration steps in numpy."""
+    floor = np.array(list(quality.FLOORS.values())) ** 2
+
+    def share(values, p):
+        return np.sort(values, axis=0)[max(0, int(np.ceil(p * len(values))) - 1)]
+
+    def distances(mean, precision):
+        return np.einsum("ni,ij,nj->n", x - mean, precision, x - mean)
+
+    mean = share(x, 0.5)
+    precision = np.diag(1 / np.maximum(((share(x, 0.75) - share(x, 0.25)) / 1.349) ** 2, floor))
+    for _ in range(quality.STEPS):
+        far = distances(mean, precision)
+        near = x[far <= share(far, quality.SHARE)]
+        mean = near.mean(axis=0)
+        covariance = near.T @ near / len(near) - np.outer(mean, mean)
+        np.fill_diagonal(covariance, np.maximum(np.diag(covariance), floor) + quality.RIDGE)
+        precision = np.linalg.inv(covariance)
+    return mean, precision, max(1.0, share(distances(mean, precision), 0.5) / quality.HALF)
+
+
+def test_verdicts_against_numpy(spark):
+    """Two groups, of which one is hot, with junk of several kinds in each."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(520):
+        text = prose(i, draw.randint(25, 200), "aa" if i % 4 else "bb")
+        if i % 9 == 0:
+            text = re.sub(" ", draw.choice(["# ", " & ", "  "]), text)
+        if i % 13 == 0:
+            text += "\n" + "\n".join(text.split("\n")[:3])
+        if i % 17 == 0:
+            text = re.sub("[aeiou]", "", text) or text
+        rows.append((i, text, "aa" if i % 4 else "bb", "hot"))
+    got = {r["row"]["doc_id"]: r for r in quality.verdicts(documents(spark, rows), ["doc_id"]).collect()}
+    seen = set()
+    for lang in ("aa", "bb"):
+        sound = [(i, vector(t)) for i, t, of, _ in rows if of == lang and not base(t)[-1]]
+        mean, precision, scale = estimate(np.array([v for _, v in sound]))
+        for i, v in sound:
+            distance = (v - mean) @ precision @ (v - mean) / scale
+            assert abs(got[i]["distance"] - distance) < 1e-6 * max(1, distance)
+            assert got[i]["kept"] == (distance <= quality.CUTOFF)
+            seen.add(got[i]["kept"])
+    assert seen == {True, False}
