@@ -13,7 +13,6 @@ from graphrank.functions.vectors import unit
 from graphrank.operators import ablation as A
 from graphrank.operators import evaluate as E
 from graphrank.operators import explain as X
-from graphrank.operators import features as FT
 from graphrank.operators import graph as G
 from graphrank.operators import propagation as P
 from graphrank.operators import scorers as R
@@ -381,12 +380,13 @@ def design_grid(s: Sources) -> DataFrame:
     seeds = F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.lit(i).alias("fold")) for i, seed in enumerate(SEEDS)])).alias("_s")
     left, right = (vectors.select(*cell, F.col("node").alias(c), F.col("vector").alias(v)) for c, v in (("head", "_h"), ("tail", "_t")))
     scored = links.join(left, "head").join(right, [*cell, "tail"]).select(
-        A.cell_name(F.col("negative_sampling"), F.col("num_layers"), F.col("features")).alias("arm"), "head", "tail", "label",
+        A.cell_name(F.col("negative_sampling"), F.col("num_layers"), F.col("features")).alias("arm"), "head", "relation", "tail", "label",
         F.aggregate(F.zip_with("_h", "_t", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v).alias("score"),
-    ).withColumn("_fold", fold).select("*", seeds).where("_fold <> _s.fold").select("arm", "_s.seed", "label", "score")
+    ).withColumn("_fold", fold).select("*", seeds).where("_fold <> _s.fold").select("arm", "_s.seed", "head", "relation", "tail", "label", "score")
     scored = materialize(scored)
     keys = ["arm", "seed"]
-    metrics = materialize(A.standardize_metrics(E.long_metrics(E.auroc(scored, keys).join(E.auprc(scored, keys), keys), keys)))
+    known = parts.select(F.col("src").alias("head"), F.col("edge_type").alias("relation"), F.col("dst").alias("tail"))
+    metrics = materialize(A.standardize_metrics(E.long_metrics(E.evaluate_scores(scored, known, keys).drop("num_positives", "num_negatives"), keys)))
     A.check_arms(metrics, [r["arm"] for r in A.design_grid(s.spark).collect()])
     report = A.finalize_report(metrics, A.reference_cell())
     narrative = A.narrative_grid(metrics).select("narrative").scalar()

@@ -13,8 +13,6 @@ from graphrank.catalog.sql import gene, hexnum, with_tables
 from graphrank.functions import vectors as V
 from graphrank.operators import ablation as A
 from graphrank.operators import evaluate as E
-from graphrank.operators import graph as G
-from graphrank.operators import propagation as P
 from graphrank.operators import scorers as R
 from graphrank.operators import splits as S
 from graphrank.operators.ordering import hash_number, stable_hash
@@ -178,10 +176,6 @@ def node_numbers(s: Sources) -> DataFrame:
     return customers.union(parts)
 
 
-def _vectors(x: DataFrame) -> DataFrame:
-    return x.select("node_id", F.col("x").alias("vector"))
-
-
 @query("B4")
 def factor_scores(s: Sources) -> DataFrame:
     links = labelled_links(s)
@@ -192,7 +186,7 @@ def factor_scores(s: Sources) -> DataFrame:
 @query("B5")
 def structure_scores(s: Sources) -> DataFrame:
     links = labelled_links(s)
-    scorer = R.structure_scores(as_triples(S.message_links(links)), dim=8, iterations=6)
+    scorer = R.structure_scores(as_triples(S.message_links(links)))
     return scorer(_examples(links, "test"))
 
 
@@ -221,7 +215,7 @@ def early_stopped_kge(s: Sources) -> DataFrame:
 def perceptron_scores(s: Sources) -> DataFrame:
     links = labelled_links(s)
     vectors = node_numbers(s).select(F.col("node_id").alias("node"), F.col("x").alias("vector"))
-    model = R.fit_perceptron(_examples(links, "train"), vectors, 2, max_iter=20)
+    model = R.fit_perceptron(_examples(links, "train"), vectors, 2)
     return R.decode(_examples(links, "test"), vectors, "mlp", model=model)
 
 

@@ -273,8 +273,13 @@ def fit_perceptron(examples: DataFrame, vectors: DataFrame, width: int, max_iter
 
 
 def perceptron_scores(model, candidates: DataFrame, vectors: DataFrame) -> DataFrame:
-    scored = model.transform(_concatenated(candidates, vectors))
-    return scored.select(*candidates.columns, vector_to_array("probability")[1].alias("score"))
+    """Probability of each candidate, 0 where an end is unknown."""
+    both = with_end_vectors(candidates, vectors)
+    zeros = F.array_repeat(F.lit(0.0), model.numFeatures // 2)
+    ready = both.select(*candidates.columns, (F.col("_h").isNotNull() & F.col("_t").isNotNull()).alias("_known"),
+                        array_to_vector(F.concat(F.coalesce("_h", zeros), F.coalesce("_t", zeros))).alias("features"))
+    score = F.when(F.col("_known"), vector_to_array("probability")[1]).otherwise(0.0)
+    return model.transform(ready).select(*candidates.columns, score.alias("score"))
 
 
 def fit_factors(positives: DataFrame, rank: int = 8, max_iter: int = 10, seed: int = 13) -> tuple[DataFrame, DataFrame]:
