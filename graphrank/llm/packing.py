@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from graphrank.llm.common import lean, materialize, ship, shuffle_partitions
 
-#: Words, and stems of words, whose ids a task remembers, and the longest of them: some 70 MB at most.
-_WORDS, _STEMS, _LONGEST = 1 << 17, 1 << 18, 48
+#: Words, and stems of words, whose ids a task remembers, and the longest of them: some 140 MB at most.
+_WORDS, _STEMS, _LONGEST = 1 << 17, 1 << 19, 48
 #: Characters of text that are tokenized together.
 _TOGETHER = 1 << 21
 #: What a Python worker holds: the tokenizer, and the words of the task that runs.
